@@ -7,12 +7,22 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+
+def batched(df: DataFrame, schema: str, make: Callable[..., list[list]]) -> DataFrame:
+    """``make`` gets a batch's columns as lists and returns the result's columns as lists in the order of ``schema``."""
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(make(*(c.to_pylist() for c in b.columns)), target)], schema=target)
+
+    return df.mapInArrow(run, schema)
 
 
 def each(df: DataFrame, schema: str, make: Callable[..., Iterable[tuple]], rows: int = 8192) -> DataFrame:
     """``make`` gets a row's values and yields result rows as tuples in the order of ``schema``. Results leave in batches of about ``rows``."""
-    from pyspark.sql.types import _parse_datatype_string
-
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def batch(found: list[tuple]) -> pa.RecordBatch:
