@@ -8,25 +8,17 @@ from __future__ import annotations
 
 import re
 
-import sys
-import unicodedata
-
 import numpy as np
+import regex
 import xxhash
 
 RUN = 5
-_ASCII = re.compile(r"[a-z0-9]+")
-
-
-def _word_pattern() -> re.Pattern:
-    """Letters, combining marks and digits as one class of ranges: far faster than looking properties up at each character."""
-    inside = [c for c in range(sys.maxunicode + 1) if (kind := unicodedata.category(chr(c)))[0] in "LM" or kind == "Nd"]
-    first = [c for i, c in enumerate(inside) if not i or inside[i - 1] != c - 1]
-    last = [c for i, c in enumerate(inside) if i == len(inside) - 1 or inside[i + 1] != c + 1]
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(first, last)) + "]+")
-
-
-_ANY = _word_pattern()
+#: Lower-cases ASCII letters, keeps digits and makes all else a space.
+_ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+#: Characters outside these ranges may be combining marks or numbers that are no digits; texts with them take the exact pattern.
+_RARE = re.compile("[^\x00-\u02af\u0400-\u0482\u048a-\u052f\u2010-\u2027\u3001-\u3003\u3008-\u3011\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fff\uff01\uff0c\uff1a\uff1b\uff1f]")
+_COMMON = re.compile(r"[^\W_\xb2\xb3\xb9\xbc-\xbe]+")
+_EXACT = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _CACHED_WORDS = 1_000_000
 _FACTORS = np.array([xxhash.xxh64_intdigest(f"factor {i}") | 1 for i in range(RUN)], dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -49,8 +41,10 @@ def words(text: str | None) -> list[str]:
     """The words of ``text`` in order; none for NULL."""
     if not text:
         return []
+    if text.isascii():
+        return text.encode().translate(_ASCII).decode().split()
     low = text.lower()
-    return _ASCII.findall(low) if low.isascii() else _ANY.findall(low)
+    return (_EXACT if _RARE.search(low) else _COMMON).findall(low)
 
 
 def hashed(tokens: list[str]) -> np.ndarray:
