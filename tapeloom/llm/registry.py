@@ -7,26 +7,74 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import near
+from tapeloom.llm import near, packing, pieces, repetition, sentences
 from tapeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts that the packing had to cut."""
+    return packing.samples(table(spark, sf_dir, "output_final")).where("piece > 0").select(F.col("id").alias("pos")).distinct()
+
+
+def p1_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample number and order for every transcript, or piece of one."""
+    return packing.samples(table(spark, sf_dir, "output_final")).withColumnRenamed("id", "pos")
+
+
+def p1_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the samples are."""
+    return packing.summary(packing.samples(table(spark, sf_dir, "output_final")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of transcripts with half of their runs in common, and of paths with 0.7 of their name pieces."""
-    texts = near.pairs_of(*near.similar(table(spark, sf_dir, "output_final"), "pos", "text", near.text_features, 0.5))
-    paths = near.pairs_of(*near.similar(table(spark, sf_dir, "mp3_file_list"), "pos", "mp3_file_list", near.name_features, 0.7))
+    texts = near.pairs_of(*near.similar(table(spark, sf_dir, "output_final"), "pos", "text", near.text_features, 0.5, 2))
+    paths = near.pairs_of(*near.similar(table(spark, sf_dir, "mp3_file_list"), "pos", "mp3_file_list", near.name_features, 0.7, 4))
     return texts.withColumn("field", F.lit("text")).unionByName(paths.withColumn("field", F.lit("path"))).select("field", "pos_a", "pos_b")
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each transcript of at least 20 words with the class of its near-copies and its number of links."""
-    return near.classes_of(*near.similar(table(spark, sf_dir, "output_final"), "pos", "text", near.text_features, 0.5))
+    return near.classes_of(*near.similar(table(spark, sf_dir, "output_final"), "pos", "text", near.text_features, 0.5, 2))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts that say the same over and over."""
+    return repetition.judged(table(spark, sf_dir, "output_final")).where("repetitive").select("pos")
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated share of every transcript, and the rule of the list that fired."""
+    return repetition.judged(table(spark, sf_dir, "output_final"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of more than 2,000 characters, which no cut can avoid."""
+    return pieces.oversized(table(spark, sf_dir, "output_final"), "pos", "text")
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every long transcript, in order, with their offsets."""
+    return pieces.pieces(table(spark, sf_dir, "output_final"), "pos", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every transcript by its start."""
+    return sentences.sentences(table(spark, sf_dir, "output_final"), "pos", "text").select("pos", "start_at")
+
+
+def p7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every transcript in order, with its offsets."""
+    return sentences.sentences(table(spark, sf_dir, "output_final"), "pos", "text")
+
+
+_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p6_found, p6_pieces, p7_found, p7_sentences)
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_classes": p3_classes}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
