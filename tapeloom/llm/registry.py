@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import near, packing, pieces, repetition, sentences
+from tapeloom.llm import near, overlap, packing, pieces, repetition, sentences
 from tapeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,18 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judged(table(spark, sf_dir, "output_final"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an evaluation and a training transcript that share 0.6 of the former's runs."""
+    found = overlap.overlaps(table(spark, sf_dir, "output_final"))
+    return found.select(F.least("eval_pos", "train_pos").alias("pos_a"), F.greatest("eval_pos", "train_pos").alias("pos_b")).distinct()
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps of every evaluation split and source."""
+    rows = table(spark, sf_dir, "output_final")
+    return overlap.per_split_and_source(rows, overlap.overlaps(rows))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of more than 2,000 characters, which no cut can avoid."""
     return pieces.oversized(table(spark, sf_dir, "output_final"), "pos", "text")
@@ -70,7 +82,7 @@ def p7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "output_final"), "pos", "text")
 
 
-_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p6_found, p6_pieces, p7_found, p7_sentences)
+_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences)
 
 
 def queries() -> dict[str, Query]:
