@@ -83,7 +83,7 @@ def _first(capacity: int):
 
 def _again(capacity: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "piece"]).reset_index(drop=True)
+        pdf = pdf.drop(columns="pool").sort_values(["id", "piece"]).reset_index(drop=True)
         sizes = pdf["size"].to_numpy()
         old = pdf.groupby(["part", "bin"], sort=True).ngroup().to_numpy()
         new = best_fit(sizes, capacity)
@@ -119,7 +119,7 @@ def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         marked = rows.withColumn("open", ~F.col("closed") & (filled < capacity))
         pool = F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(max(1, parts // _POOL)))
         given = marked.where("open").drop("open").withColumn("pool", pool)
-        repacked = given.groupBy("pool").applyInPandas(lambda pdf, f=_again(capacity): f(pdf.drop(columns="pool")), schema)
+        repacked = given.groupBy("pool").applyInPandas(_again(capacity), schema)
         # Names of this round's bins are kept apart from the earlier rounds' by a step that no pool's number of bins reaches.
         step = (turn + 1) << 40
         repacked = repacked.withColumn("bin", F.col("bin") - F.lit(step))
