@@ -3,9 +3,10 @@
 A rolling hash over two neighbouring words cuts every text's word sequence; so an edit changes the chunks it touches and no
 others. Chunk digests are joined across the splits and the shared chunks' lengths are summed for every pair.
 
-A chunk that many records share finds candidates only where rarer ones cannot: each evaluation record looks up its rarest
-shared chunks, until what is left of the record couldn't hold a LOOSE share of it. Any training record with that share in
-common with it must hold one of those looked up. Candidates are then measured on their runs of five words.
+A chunk that many records share finds candidates only where rarer ones cannot: each evaluation record leaves out its most
+common shared chunks, as many as make up a LOOSE share of its words, and looks up all others. A training record whose chunks
+make up at least that share of it by those looked up is measured on its runs of five words. So no pair with 2 x LOOSE of the
+record's words in common chunks is missed; texts that share SHARE of their runs have more than that, see CHUNK_WORDS.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from tapeloom.plans.stage import staged
 LEAST_WORDS, SHARE = 20, 0.6
 #: Words in a chunk on average.
 CHUNK_WORDS = 6
-#: The share of a record's words in shared chunks from which a pair is measured. One changed word spoils its chunk and, at times, a neighbour: about nine words, where it spoils five runs.
-LOOSE = 0.15
+#: Shorter chunks are never looked up: hundreds of unrelated records share them.
+LEAST_CHUNK = 3
+#: One changed word spoils its chunk and, at times, a neighbour: about nine words, where it spoils five runs.
+LOOSE = 0.05
 
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -38,7 +41,7 @@ def split_name(c: str) -> Column:
 
 
 def chunks(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(digests, lengths in words) of the distinct content-defined chunks of a word sequence."""
+    """(digests, lengths in words) of the distinct content-defined chunks of at least three words of a word sequence."""
     h = hashed(tokens)
     if not len(h):
         return h, np.zeros(0, dtype=np.int64)
@@ -49,8 +52,9 @@ def chunks(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(h), dtype=np.uint64) - np.repeat(starts, np.diff(np.concatenate([starts, [len(h)]]))).astype(np.uint64)
     digests = mixed(np.add.reduceat(mixed(h + at * _FIRST), starts))
     lengths = np.diff(np.concatenate([starts, [len(h)]]))
-    digests, first = np.unique(digests, return_index=True)
-    return digests, lengths[first]
+    long = lengths >= LEAST_CHUNK
+    digests, first = np.unique(digests[long], return_index=True)
+    return digests, lengths[long][first]
 
 
 def _chunked(ids: list[int], evals: list[bool], texts: list[str]) -> list[list]:
@@ -76,7 +80,8 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
     rest = F.sum("length").over(Window.partitionBy("id", "total").orderBy(F.desc("in_train"), "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     asked = both.where("eval").dropDuplicates(["id", "total", "digest"]).withColumn("rest", rest).where(F.col("rest") >= LOOSE * F.col("total"))
     held = both.where("NOT eval").select(F.col("id").alias("train_id"), "digest").distinct()
-    met = asked.select("id", "digest").distinct().join(held, "digest").where("id <> train_id").select(F.col("id").alias("a"), F.col("train_id").alias("b")).distinct()
+    met = asked.select("id", "total", "digest", "length").join(held, "digest").where("id <> train_id")
+    met = met.groupBy(F.col("id").alias("a"), F.col("train_id").alias("b"), "total").agg(F.sum("length").alias("met")).where(F.col("met") >= LOOSE * F.col("total")).select("a", "b").distinct()
     pairs = staged(met, "pairs")
     kept = only_keys(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
     with_a = pairs.join(kept.where("eval").select(F.col("id").alias("a"), F.col("text").alias("one")), "a")
@@ -90,7 +95,7 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
         both = common(p, q)
         if both and both >= share * len(p) - 1e-9:
             (c, n), (d, _) = chunks(x), chunks(y)
-            yield a, b, both / len(p), float(n[np.isin(c, d)].sum() / n.sum())
+            yield a, b, both / len(p), float(n[np.isin(c, d)].sum() / max(1, n.sum()))
 
     pairs = each(with_b, "eval_pos long, train_pos long, runs_shared double, chunks_shared double", measured)
     return pairs.groupBy("eval_pos", "train_pos").agg(F.max("runs_shared").alias("runs_shared"), F.max("chunks_shared").alias("chunks_shared"))
