@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import near, overlap, packing, pieces, repetition, sentences
+from tapeloom.llm import leaks, near, overlap, packing, pieces, repetition, sentences
 from tapeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,7 +82,18 @@ def p7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "output_final"), "pos", "text")
 
 
-_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences)
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain at least 0.4 of an item's runs."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where(F.col("runs_shared") >= leaks.SHARE - 1e-9).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items that leaked into them, with the share that tiles cover."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks)
 
 
 def queries() -> dict[str, Query]:

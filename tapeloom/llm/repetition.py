@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.rows import batched
+from tapeloom.llm.rows import batched, bounded_sample
 from tapeloom.llm.words import RUN, hashed, runs_of, words
 from tapeloom.plans.stage import staged
 
@@ -170,7 +170,7 @@ def judged(df: DataFrame, key: str = "pos", text: str = "text", sample: int = TR
     table too small to show a repetitive text has the definition's own two thresholds for a rule.
     """
     stats = staged(measured(df, key, text), "statistics")
-    rows = stats.withColumn("y", _label()).orderBy(F.xxhash64("pos"), "pos").limit(sample).collect()
+    rows = bounded_sample(stats.withColumn("y", _label()), "pos", sample)
     x = np.array([[r[s] for s in STATISTICS] for r in rows], dtype=float).reshape(-1, len(STATISTICS))
     y = np.array([r["y"] for r in rows], dtype=bool)
     rules = learned(x, y) or [Rule((("n_words", True, float(LEAST_WORDS)), ("run_repeats", True, SHARE - 1e-12)))]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -41,3 +42,14 @@ def each(df: DataFrame, schema: str, make: Callable[..., Iterable[tuple]], rows:
             yield batch(found)
 
     return df.mapInArrow(run, schema)
+
+
+def bounded_sample(df: DataFrame, key: str, most: int) -> list:
+    """At most ``most`` rows of ``df``, collected: those with the least hash of ``key``, the same whatever the order of the rows.
+
+    Rows are counted first and thinned by hash before they are sorted, so that tasks don't each send ``most`` rows to the driver.
+    """
+    thinned = df
+    if (n := df.count()) > 2 * most:
+        thinned = df.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < F.lit(max(1, 2_000_000 * most // n)))
+    return thinned.orderBy(F.xxhash64(key), key).limit(most).collect()

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.rows import each
+from tapeloom.llm.rows import bounded_sample, each
 
 #: The end marks. Fixed values.
 MARKS = ".!?…。！？।؟"
@@ -246,7 +246,7 @@ def spans(text: str | None, model: Model) -> list[tuple[int, int]]:
 
 def fitted(df: DataFrame, key: str, text: str) -> Model:
     """A model for the texts of ``df``, from at most TRAINING_TEXTS of them: those with the least hash of their key."""
-    ids = [r.id for r in df.select(F.col(key).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(TRAINING_TEXTS).collect()]
+    ids = [r.id for r in bounded_sample(df.select(F.col(key).alias("id")).where("id IS NOT NULL"), "id", TRAINING_TEXTS)]
     chosen = df.where(F.col(key).isin(ids) & F.length(text).between(100, 20000)) if ids else df.limit(0)
     return trained(sorted({r[0] for r in chosen.select(text).collect()}))
 
