@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import leaks, near, overlap, packing, pieces, repetition, sentences
+from tapeloom.llm import leaks, near, overlap, packing, pieces, repetition, sentences, subjects
 from tapeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,7 +93,21 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks)
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one or two subjects each document is mainly about."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject."""
+    return subjects.makeup(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p10_found, p10_makeup)
 
 
 def queries() -> dict[str, Query]:
