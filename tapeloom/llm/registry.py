@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import leaks, near, overlap, packing, pieces, repetition, sentences, subjects
+from tapeloom.llm import leaks, mixing, near, overlap, packing, pieces, repetition, sentences, subjects
 from tapeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,22 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share."""
+    _, shares = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return shares.where("NOT reaches").select("source")
+
+
+def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "doc_labels"))
 
@@ -107,7 +123,7 @@ def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.makeup(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p10_found, p10_makeup)
+_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p9_found, p9_uses, p9_shares, p10_found, p10_makeup)
 
 
 def queries() -> dict[str, Query]:
