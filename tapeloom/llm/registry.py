@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import leaks, mixing, near, overlap, packing, pieces, repetition, sentences, subjects
+from tapeloom.llm import leaks, mixing, near, overlap, packing, pieces, repetition, sentences, splits, subjects
 from tapeloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,20 @@ def p1_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(packing.samples(table(spark, sf_dir, "output_final")))
 
 
+def _speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.known_speakers(table(spark, sf_dir, "output_final"), table(spark, sf_dir, "mp3_file_list"), table(spark, sf_dir, "speakers"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts with a known speaker, and the smallest speaker of that speaker's group."""
+    return splits.grouped(_speakers(spark, sf_dir)).select(F.col("id").alias("pos"), F.col("component").alias("group_speaker_id"))
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One split for every transcript."""
+    return splits.split_records(_speakers(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of transcripts with half of their runs in common, and of paths with 0.7 of their name pieces."""
     texts = near.pairs_of(*near.similar(table(spark, sf_dir, "output_final"), "pos", "text", near.text_features, 0.5, 2))
@@ -123,7 +137,7 @@ def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.makeup(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_samples, p1_fill, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p9_found, p9_uses, p9_shares, p10_found, p10_makeup)
+_QUERIES = (p1_found, p1_samples, p1_fill, p2_found, p2_splits, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p9_found, p9_uses, p9_shares, p10_found, p10_makeup)
 
 
 def queries() -> dict[str, Query]:
