@@ -29,3 +29,17 @@ def running_sum(df: DataFrame, bucket: str, order: list[Column], value: str, int
         same = c if same is None else same & c
     joined = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).alias("l").join(totals.alias("r"), same)
     return joined.select("l.*", (F.col("r._before") + F.col("l._inside")).alias(into)).drop("_inside")
+
+
+#: Rows of consecutive keys in a bucket.
+BUCKET_KEYS = 10_000
+
+
+def numbered(df: DataFrame, key: str, order: list[str], into: str = "idx") -> DataFrame:
+    """Adds the place, from 0, of each row by ``order``, whose first column is the whole number ``key``; NULL keys come first.
+
+    Buckets are stretches of keys, so keys should be dense, as positions are.
+    """
+    rows = df.withColumn("_bucket", F.coalesce(F.floor(F.col(key) / BUCKET_KEYS), F.lit(-(1 << 62)))).withColumn("_one", F.lit(1).cast("long"))
+    summed = running_sum(rows, "_bucket", [F.asc_nulls_first(c) for c in order], "_one", "_n")
+    return summed.withColumn(into, F.col("_n") - 1).drop("_bucket", "_one", "_n")
