@@ -4,14 +4,15 @@ A rolling hash over two neighbouring words cuts every text's word sequence; so a
 others. Chunk digests are joined across the splits and the shared chunks' lengths are summed for every pair.
 
 A chunk that many records share finds candidates only where rarer ones cannot: each evaluation record leaves out its most
-common shared chunks, as many as make up a LOOSE share of its words, and looks up all others. A training record whose chunks
-make up at least that share of it by those looked up is measured on its runs of five words. So no pair with 2 x LOOSE of the
-record's words in common chunks is missed; texts that share SHARE of their runs have more than that, see CHUNK_WORDS.
+common shared chunks, as many as make up a LOOSE share of its words, and looks up all others. A training record that holds
+LEAST_MET of its words by chunks looked up is measured on its runs of five words. So no pair is missed that has both shares
+together of the record's words in common chunks; texts that share SHARE of their runs have more than that, see LOOSE.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ CHUNK_WORDS = 6
 #: Shorter chunks are never looked up: hundreds of unrelated records share them.
 LEAST_CHUNK = 3
 #: One changed word spoils its chunk and, at times, a neighbour: about nine words, where it spoils five runs.
-LOOSE = 0.05
+LOOSE, LEAST_MET = 0.1, 0.04
 
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -62,6 +63,14 @@ def _chunked(ids: list[int], evals: list[bool], texts: list[str]) -> list[list]:
     return [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [f[3].view(np.int64) for f in found], [f[4] for f in found]]
 
 
+@lru_cache(maxsize=1024)
+def _parts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs of a text, its chunks' digests and their lengths; kept for the next pair, as a text is often in several. No runs under 20 words."""
+    tokens = words(text)
+    runs = np.unique(runs_of(hashed(tokens))) if len(tokens) >= LEAST_WORDS else np.zeros(0, dtype=np.uint64)
+    return (runs, *chunks(tokens))
+
+
 def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str = "text", split: str = "split") -> DataFrame:
     """(eval_pos, train_pos, runs_shared, chunks_shared): pairs of which at least ``share`` of the evaluation text's runs stand in the training text.
 
@@ -81,20 +90,16 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
     asked = both.where("eval").dropDuplicates(["id", "total", "digest"]).withColumn("rest", rest).where(F.col("rest") >= LOOSE * F.col("total"))
     held = both.where("NOT eval").select(F.col("id").alias("train_id"), "digest").distinct()
     met = asked.select("id", "total", "digest", "length").join(held, "digest").where("id <> train_id")
-    met = met.groupBy(F.col("id").alias("a"), F.col("train_id").alias("b"), "total").agg(F.sum("length").alias("met")).where(F.col("met") >= LOOSE * F.col("total")).select("a", "b").distinct()
+    met = met.groupBy(F.col("id").alias("a"), F.col("train_id").alias("b"), "total").agg(F.sum("length").alias("met")).where(F.col("met") >= LEAST_MET * F.col("total")).select("a", "b").distinct()
     pairs = staged(met, "pairs")
     kept = only_keys(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
     with_a = pairs.join(kept.where("eval").select(F.col("id").alias("a"), F.col("text").alias("one")), "a")
     with_b = with_a.join(kept.where("NOT eval").select(F.col("id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "one", "other")
 
     def measured(a: int, b: int, one: str, other: str) -> Iterator[tuple]:
-        x, y = words(one), words(other)
-        if len(x) < LEAST_WORDS or len(y) < LEAST_WORDS:
-            return
-        p, q = np.unique(runs_of(hashed(x))), np.unique(runs_of(hashed(y)))
+        (p, c, n), (q, d, _) = _parts(one), _parts(other)
         both = common(p, q)
         if both and both >= share * len(p) - 1e-9:
-            (c, n), (d, _) = chunks(x), chunks(y)
             yield a, b, both / len(p), float(n[np.isin(c, d)].sum() / max(1, n.sum()))
 
     pairs = each(with_b, "eval_pos long, train_pos long, runs_shared double, chunks_shared double", measured)
