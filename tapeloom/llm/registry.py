@@ -144,5 +144,34 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in _QUERIES}
 
 
+#: Runs of five words by record, as the SQL of several queries begins.
+_WORD = "[\\p{L}\\p{M}\\p{Nd}]+"
+_RUNS = (
+    "w AS (SELECT pos, split, regexp_extract_all(lower(text), '" + _WORD + "') AS w FROM (SELECT DISTINCT pos, text, split FROM output_final WHERE pos IS NOT NULL AND text IS NOT NULL)), "
+    "every AS (SELECT pos, split, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run, len(w) AS n_words FROM w WHERE len(w) >= 20), "
+    "r AS (SELECT DISTINCT pos, split, run FROM every), n AS (SELECT pos, count(*) AS n FROM r GROUP BY pos)"
+)
+_NAMES = (
+    "f AS (SELECT DISTINCT pos, regexp_extract(mp3_file_list, '[^/]*$') AS f FROM mp3_file_list WHERE pos IS NOT NULL AND mp3_file_list <> ''), "
+    "s AS (SELECT pos, CASE WHEN contains(f, '.') THEN regexp_replace(f, '\\.[^.]*$', '') ELSE f END AS f FROM f), "
+    "g AS (SELECT pos, regexp_replace(lower(f), '[^a-z0-9]', '', 'g') AS p, list_sort(list_distinct(list_transform(regexp_extract_all(f, '[0-9]+'), lambda x: CAST(x AS HUGEINT)))) AS nums FROM s), "
+    "t3 AS (SELECT DISTINCT pos, nums, unnest(list_transform(range(1, len(p) - 1), lambda i: p[i:i + 2])) AS piece FROM g), n3 AS (SELECT pos, count(*) AS n FROM t3 GROUP BY pos)"
+)
+_SPLITS = "c AS (SELECT pos, run, CASE WHEN lower(trim(split)) = 'train' THEN 'train' WHEN lower(trim(split)) IN ('val', 'validation', 'test') THEN 'eval' END AS part FROM r)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": "SELECT DISTINCT pos FROM output_final WHERE pos IS NOT NULL AND len(regexp_extract_all(text, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+')) > 768",
+        "p3_found": f"WITH {_RUNS}, {_NAMES} "
+        "SELECT 'text' AS field, a.pos AS pos_a, b.pos AS pos_b FROM r a JOIN r b ON a.run = b.run AND a.pos < b.pos JOIN n x ON x.pos = a.pos JOIN n y ON y.pos = b.pos GROUP BY a.pos, b.pos, x.n, y.n HAVING count(*) >= 0.5 * (x.n + y.n - count(*)) "
+        "UNION ALL SELECT 'path', a.pos, b.pos FROM t3 a JOIN t3 b ON a.piece = b.piece AND a.nums = b.nums AND a.pos < b.pos JOIN n3 x ON x.pos = a.pos JOIN n3 y ON y.pos = b.pos GROUP BY a.pos, b.pos, x.n, y.n HAVING count(*) >= 0.7 * (x.n + y.n - count(*))",
+        "p4_found": f"WITH {_RUNS} SELECT pos FROM every WHERE n_words >= 30 GROUP BY pos HAVING count(*) - count(DISTINCT run) >= 0.25 * count(*)",
+        "p5_found": f"WITH {_RUNS}, {_SPLITS} SELECT DISTINCT least(a.pos, b.pos) AS pos_a, greatest(a.pos, b.pos) AS pos_b FROM (SELECT a.pos, b.pos AS other, count(*) AS k FROM c a JOIN c b ON a.run = b.run "
+        "AND a.part = 'eval' AND b.part = 'train' GROUP BY 1, 2) p JOIN n ON n.pos = p.pos JOIN (SELECT pos FROM n) a ON a.pos = p.pos JOIN (SELECT pos FROM n) b ON b.pos = p.other WHERE k >= 0.6 * n.n",
+        "p8_found": f"WITH dw AS (SELECT DISTINCT doc_id AS id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), "
+        f"iw AS (SELECT DISTINCT item_id AS id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL), "
+        "dr AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM dw), "
+        "ir AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM iw), n AS (SELECT id, count(*) AS n FROM ir GROUP BY id) "
+        "SELECT dr.id AS doc_id, ir.id AS item_id FROM dr JOIN ir USING (run) JOIN n ON n.id = ir.id GROUP BY dr.id, ir.id, n.n HAVING count(*) >= 0.4 * n.n",
+    }
