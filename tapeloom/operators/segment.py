@@ -4,50 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-OF_TEXT = Window.partitionBy("pos").orderBy("line_no")
-SO_FAR = OF_TEXT.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = OF_TEXT.rowsBetween(Window.unboundedPreceding, -1)
+from tapeloom.functions.text import unix_lines
+
+
+def of_text() -> WindowSpec:
+    return Window.partitionBy("pos").orderBy("line_no")
+
+
+def so_far() -> WindowSpec:
+    return of_text().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before() -> WindowSpec:
+    return of_text().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def block_starts(lines: DataFrame) -> DataFrame:
     """(pos, start_line): the line, from 1, after every second blank line, blanks counted on through text; line 0 is passed over."""
-    blanks = lines.where("line_no >= 1").withColumn("cum", F.sum((F.col("line") == "").cast("long")).over(SO_FAR))
+    blanks = lines.where("line_no >= 1").withColumn("cum", F.sum((F.col("line") == "").cast("long")).over(so_far()))
     return blanks.where("line = '' AND cum % 2 = 0").select("pos", (F.col("line_no") + 2).alias("start_line"))
 
 
 def block_assign(lines: DataFrame) -> DataFrame:
     """(pos, block_no, line_no, line): text lines with the number of blank pairs before them, where there is any."""
-    blanks = lines.where("line_no >= 1").withColumn("cum", F.sum((F.col("line") == "").cast("long")).over(SO_FAR))
+    blanks = lines.where("line_no >= 1").withColumn("cum", F.sum((F.col("line") == "").cast("long")).over(so_far()))
     return blanks.withColumn("block_no", F.floor(F.col("cum") / 2)).where("line <> '' AND block_no >= 1").select("pos", "block_no", "line_no", "line")
 
 
 def separators(lines: DataFrame) -> DataFrame:
     """Adds ``sep``: 1 on every second line of a run of blank lines, else 0."""
     blank = F.col("line") == ""
-    runs = lines.withColumn("_text", F.sum((~blank).cast("long")).over(SO_FAR))
+    runs = lines.withColumn("_text", F.sum((~blank).cast("long")).over(so_far()))
     within = F.row_number().over(Window.partitionBy("pos", "_text", blank).orderBy("line_no"))
     return runs.withColumn("sep", F.when(blank & (within % 2 == 0), 1).otherwise(0)).drop("_text")
 
 
 def block_split(lines: DataFrame) -> DataFrame:
     """(pos, block_no, n_lines, n_text): blocks closed by two blank lines in a row; single blanks count as lines only."""
-    marked = separators(lines).withColumn("block_no", F.coalesce(F.sum("sep").over(BEFORE), F.lit(0)))
+    marked = separators(lines).withColumn("block_no", F.coalesce(F.sum("sep").over(before()), F.lit(0)))
     return marked.groupBy("pos", "block_no").agg(F.count("*").alias("n_lines"), F.sum((F.col("line") != "").cast("long")).alias("n_text"))
 
 
 def block_literal(df: DataFrame) -> DataFrame:
     """(pos, block_no, block): what stands between two blank lines, taken literally; what stands before the first is dropped."""
-    from tapeloom.functions.text import unix_lines
-
     cut = df.select("pos", F.posexplode(F.split(unix_lines("text"), "\n\n\n", -1)).alias("n", "block"))
     return cut.where("n >= 1").select("pos", F.col("n").cast("long").alias("block_no"), "block")
 
 
 def separator_check(lines: DataFrame) -> DataFrame:
     """(pos, line_no, flag): text after exactly one blank line ('a'), or after exactly two but not indented ('b')."""
-    last = F.max(F.when(F.col("line") != "", F.col("line_no"))).over(BEFORE)
+    last = F.max(F.when(F.col("line") != "", F.col("line_no"))).over(before())
     blanks = F.col("line_no") - F.coalesce(last, F.lit(-1)) - 1
     seen = lines.withColumn("blanks", blanks).where("line <> ''")
     flag = F.when(F.col("blanks") == 1, "a").when((F.col("blanks") == 2) & ~F.col("line").startswith(" "), "b")
@@ -56,5 +64,5 @@ def separator_check(lines: DataFrame) -> DataFrame:
 
 def single_lines(lines: DataFrame) -> DataFrame:
     """(pos, line_number): text lines, from 1, between blank lines; the start of a text counts as blank, its end doesn't."""
-    around = lines.withColumn("_b", F.coalesce(F.lag("line").over(OF_TEXT), F.lit(""))).withColumn("_a", F.lead("line").over(OF_TEXT))
+    around = lines.withColumn("_b", F.coalesce(F.lag("line").over(of_text()), F.lit(""))).withColumn("_a", F.lead("line").over(of_text()))
     return around.where("line <> '' AND _b = '' AND _a = ''").select("pos", (F.col("line_no") + 1).alias("line_number"))
