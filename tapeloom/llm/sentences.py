@@ -196,9 +196,10 @@ class Model:
         return known
 
 
-#: What is believed before any text is seen, as labelled candidates that each count so often. Fixed values.
+#: What is believed before any text is seen, as labelled candidates. Fixed values.
 _BELIEFS = [
-    ((mark, "*", "w", kind, where, case, "-"), where != "in" and kind[-1] in ("u", "o", "e", "x"))
+    ((mark, token, "w", kind, where, case, "-"), where != "in" and kind[-1] in ("u", "o", "e", "x"))
+    for token in ("*", "~")
     for mark in (".", "?", "...", "。", "？", "।", "؟")
     for kind in ("u", "l1", "l0", "d0", "o", "hl", "hu", "p", "qu", "qo", "e")
     for where in ("out", "shut")
@@ -208,6 +209,7 @@ _BELIEFS = [
     *(((mark, "*", "w", kind, f"in{b}{then}", "m", "-"), False) for mark in (".", "?", "。", "？", "...") for kind in ("u", "o") for b in "qb" for then in ("l", "o", "p", "hl")),
     *(((mark, "*", "w", kind, f"inq{then}", "m", "-"), True) for mark in (".", "?", "。") for kind in ("u", "o") for then in ("u", "e", "qu")),
     *(((mark, "*", "w", f"o{gap}", "shut", "m", "-"), gap == "1") for mark in ("?", "？", "。", ".", "...") for gap in "01"),
+    *(((".", token, "9", kind, "out", "m", "-"), kind == "u") for token in ("*", "~") for kind in ("u", "l1", "d0")),
     *(((".", a, "i" if "." in a else "1" if len(a) == 1 else "w", kind, "out", case, "a"), False) for a in sorted(ABBREVIATIONS) for kind in ("u", "l1", "d1", "o") for case in "mu"),
     *(((".", "*", "1", kind, "out", "m", "-"), False) for kind in ("u", "l1", "d1")),
     *(((mark, "*", "w", kind, "out", "u", "-"), kind == "u") for mark in (".", "?", "...") for kind in ("u", "d0", "p")),
@@ -218,12 +220,15 @@ _BELIEFS = [
 def trained(texts: list[str]) -> Model:
     """A model fitted to the reliable candidates of ``texts`` and, weakly, to what is believed beforehand."""
     counts: Counter[tuple[Features, bool]] = Counter(dict.fromkeys(_BELIEFS, 3))
+    # An abbreviation is the exception: all that is believed of other words weighs as much as the list of abbreviations.
+    general = {row for row in _BELIEFS if row[0][6] == "-"}
     for text in texts:
         counts.update(reliable(text))
     rows = list(counts)
     names = {x: i for i, x in enumerate(sorted({x for f, _ in rows for x in _facets(f)}))}
     at = np.array([[names[x] for x in _facets(f)] for f, _ in rows])
     y, n = np.array([1.0 if ends else 0.0 for _, ends in rows]), np.log1p(np.array([counts[r] for r in rows], dtype=float))
+    n += np.array([20.0 if r in general else 0.0 for r in rows])
     w, moved = np.zeros(len(names)), np.full(len(names), 1e-8)
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(w[at].sum(axis=1), -30, 30)))
