@@ -41,15 +41,36 @@ def _windows(h: list[int], free: list[bool], size: int) -> dict[int, list[int]]:
     return found
 
 
+def _seeded(a: list[int], b: list[int]) -> list[bool]:
+    """Whether each word of ``a`` is in a run that stands in ``b`` too."""
+    here, there = runs_of(np.array(a, dtype=np.uint64)), runs_of(np.array(b, dtype=np.uint64))
+    inside = np.zeros(len(a) + RUN, dtype=np.int64)
+    at = np.flatnonzero(np.isin(here, there))
+    np.add.at(inside, at, 1)
+    np.add.at(inside, at + RUN, -1)
+    return (np.cumsum(inside)[: len(a)] > 0).tolist()
+
+
+def _longest(free: list[bool]) -> int:
+    """The length of the longest stretch of unmarked words."""
+    most = now = 0
+    for f in free:
+        now = now + 1 if f else 0
+        most = max(most, now)
+    return most
+
+
 def tiles(a: list[int], b: list[int], least: int = RUN, first: int = 64) -> list[tuple[int, int, int]]:
     """(start in a, start in b, length) of the tiles of two hashed word sequences, the longest first; no word is in two tiles.
 
     Windows of ``first`` words are looked for first. Where a match reaches twice the window, the search starts anew
-    with its length; else the window is halved, down to ``least``.
+    with its length; else the window is halved, down to ``least``. Words in no shared run of five are in no tile of five and are left out from the start.
     """
-    free_a, free_b = [True] * len(a), [True] * len(b)
+    free_a, free_b = _seeded(a, b), _seeded(b, a)
+    if least < RUN:
+        free_a, free_b = [True] * len(a), [True] * len(b)
     found: list[tuple[int, int, int]] = []
-    size = max(least, min(first, len(a), len(b)))
+    size = max(least, min(first, _longest(free_a), _longest(free_b)))
     while True:
         places = _windows(b, free_b, size)
         matches: list[tuple[int, int, int]] = []
@@ -72,7 +93,7 @@ def tiles(a: list[int], b: list[int], least: int = RUN, first: int = 64) -> list
                 found.append((i, j, n))
         if size == least:
             return found
-        size = max(least, size // 2)
+        size = max(least, min(size // 2, _longest(free_a), _longest(free_b)))
 
 
 class Items:
