@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,8 +60,9 @@ def chunks(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunked(ids: list[int], evals: list[bool], texts: list[str]) -> list[list]:
-    found = [(i, e, len(t), *chunks(t)) for i, e, text in zip(ids, evals, texts) if len(t := words(text)) >= LEAST_WORDS]
-    return [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [f[3].view(np.int64) for f in found], [f[4] for f in found]]
+    found = [(i, e, t, *chunks(t)) for i, e, text in zip(ids, evals, texts) if len(t := words(text)) >= LEAST_WORDS]
+    same = [xxhash.xxh64_intdigest(" ".join(f[2])) - (1 << 63) for f in found]
+    return [[f[0] for f in found], [f[1] for f in found], same, [len(f[2]) for f in found], [f[3].view(np.int64) for f in found], [f[4] for f in found]]
 
 
 @lru_cache(maxsize=1024)
@@ -76,12 +78,18 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
 
     ``runs_shared`` and ``chunks_shared`` are the shares of the evaluation text's distinct runs, and of the words of its distinct chunks, that stand
     in the training text. Rows with a NULL key or text, under 20 words, or in no known split take no part. Repeated rows
-    count once; a key that comes with several texts or splits counts with each, never against itself.
+    count once; a key that comes with several texts or splits counts with each, never against itself, and what is found for
+    one of its texts counts for it and for all records with a copy of any of them.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), split_name(split).alias("split"), F.col(text).alias("text"))
     rows = rows.where("id IS NOT NULL AND text IS NOT NULL AND split IN ('train', 'validation', 'test')").select("id", (F.col("split") != "train").alias("eval"), "text")
-    made = batched(rows, "id long, eval boolean, total int, digests array<long>, lengths array<int>", _chunked)
-    flat = made.select("id", "eval", "total", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("id", "eval", "total", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
+    made = batched(rows, "id long, eval boolean, same long, total int, digests array<long>, lengths array<int>", _chunked)
+    made = staged(made, "chunks")
+    # Records of the same words on the same side are looked up once, by the least key among them.
+    side = made.select("id", "eval", "same").distinct()
+    members = side.join(side.groupBy("eval", "same").agg(F.min("id").alias("rep")), ["eval", "same"]).select("id", "eval", "rep")
+    one = made.groupBy("eval", "same").agg(F.min("id").alias("id"), F.max("total").alias("total"), F.min_by(F.struct("digests", "lengths"), "id").alias("c"))
+    flat = one.select("id", "eval", "total", "c.*").select("id", "eval", "total", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("id", "eval", "total", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
     of_digest = Window.partitionBy("digest")
     both = flat.withColumn("in_train", F.sum((~F.col("eval")).cast("long")).over(of_digest)).withColumn("in_eval", F.sum(F.col("eval").cast("long")).over(of_digest))
     both = staged(both.where("in_train > 0 AND in_eval > 0").select("id", "eval", "total", "digest", "length", "in_train"), "shared_chunks")
@@ -89,7 +97,7 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
     rest = F.sum("length").over(Window.partitionBy("id", "total").orderBy(F.desc("in_train"), "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     asked = both.where("eval").dropDuplicates(["id", "total", "digest"]).withColumn("rest", rest).where(F.col("rest") >= LOOSE * F.col("total"))
     held = both.where("NOT eval").select(F.col("id").alias("train_id"), "digest").distinct()
-    met = asked.select("id", "total", "digest", "length").join(held, "digest").where("id <> train_id")
+    met = asked.select("id", "total", "digest", "length").join(held, "digest")
     met = met.groupBy(F.col("id").alias("a"), F.col("train_id").alias("b"), "total").agg(F.sum("length").alias("met")).where(F.col("met") >= LEAST_MET * F.col("total")).select("a", "b").distinct()
     pairs = staged(met, "pairs")
     kept = only_keys(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
@@ -102,7 +110,10 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
         if both and both >= share * len(p) - 1e-9:
             yield a, b, both / len(p), float(n[np.isin(c, d)].sum() / max(1, n.sum()))
 
-    pairs = each(with_b, "eval_pos long, train_pos long, runs_shared double, chunks_shared double", measured)
+    links = each(with_b, "a long, b long, runs_shared double, chunks_shared double", measured)
+    left = members.where("eval").select(F.col("rep").alias("a"), F.col("id").alias("eval_pos"))
+    right = members.where("NOT eval").select(F.col("rep").alias("b"), F.col("id").alias("train_pos"))
+    pairs = links.join(left, "a").join(right, "b").where("eval_pos <> train_pos")
     return pairs.groupBy("eval_pos", "train_pos").agg(F.max("runs_shared").alias("runs_shared"), F.max("chunks_shared").alias("chunks_shared"))
 
 
