@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,19 @@ LENGTH, PAD, UNKNOWN, FIRST_WORD = 768, 0, 1, 2
 IGNORED = -100
 
 
+#: A map is searched entry by entry, so the dictionary is spread over many small ones by checksum.
+_MAPS = 512
+
+
 def ids(text: str, words: list[str]) -> Column:
     """The ids of a text's lower-case tokens: a dictionary word's place plus 2, 1 for all others."""
-    if not words:
-        return F.transform(X.tokens(F.lower(text)), lambda w: F.lit(UNKNOWN))
-    places = F.create_map(*[F.lit(x) for i, w in enumerate(words) for x in (w, i + FIRST_WORD)])
-    return F.transform(X.tokens(F.lower(text)), lambda w: F.coalesce(F.try_element_at(places, w), F.lit(UNKNOWN)))
+    spread: list[list[tuple[str, int]]] = [[] for _ in range(_MAPS)]
+    for i, w in enumerate(words):
+        spread[zlib.crc32(w.encode()) % _MAPS].append((w, i + FIRST_WORD))
+    none = F.create_map(F.lit(""), F.lit(UNKNOWN))
+    maps = F.array(*[F.create_map(*[F.lit(x) for pair in some for x in pair]) if some else none for some in spread])
+    place = lambda w: F.try_element_at(F.element_at(maps, (F.pmod(F.crc32(w), F.lit(_MAPS)) + 1).cast("int")), w)
+    return F.transform(X.tokens(F.lower(text)), lambda w: F.coalesce(place(w), F.lit(UNKNOWN)))
 
 
 def encoded(df: DataFrame, words: list[str], length: int = LENGTH) -> DataFrame:
