@@ -211,6 +211,7 @@ _BELIEFS = [
     *(((mark, "*", "w", f"o{gap}", "shut", "m", "-"), gap == "1") for mark in ("?", "？", "。", ".", "...") for gap in "01"),
     *(((".", token, "9", kind, "out", "m", "-"), kind == "u") for token in ("*", "~") for kind in ("u", "l1", "d0")),
     *(((".", a, "i" if "." in a else "1" if len(a) == 1 else "w", kind, "out", case, "a"), False) for a in sorted(ABBREVIATIONS) for kind in ("u", "l1", "d1", "o") for case in "mu"),
+    *(((".", a, "i" if "." in a else "1" if len(a) == 1 else "w", kind, f"inb{then}", "m", "a"), False) for a in sorted(ABBREVIATIONS) for kind in ("l1", "d1") for then in ("l", "p", "x", "u", "e")),
     *(((".", "*", "1", kind, "out", "m", "-"), False) for kind in ("u", "l1", "d1")),
     *(((mark, "*", "w", kind, "out", "u", "-"), kind == "u") for mark in (".", "?", "...") for kind in ("u", "d0", "p")),
     *(((mark, "*", "w", "l1", "out", "l", "-"), True) for mark in (".", "?", "।")),
