@@ -36,12 +36,12 @@ def distribution(df: DataFrame, x: str) -> DataFrame:
 
 def histogram(df: DataFrame, x: str, width: int = WIDTH) -> DataFrame:
     """(bin, label, n): half-open bins from the least value on, empty ones too; a maximum on a bin's edge has no bin."""
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    bins = F.ceil((F.col("hi") - F.col("lo")) / width).cast("long")
-    every = ends.where("hi > lo").select("lo", F.explode(F.sequence(F.lit(0).cast("long"), bins - 1)).alias("bin"))
-    lo = F.broadcast(ends.select("lo"))
-    counted = df.where(F.col(x).isNotNull()).join(lo, F.col(x) >= F.col("lo")).groupBy(F.floor((F.col(x) - F.col("lo")) / width).alias("bin")).agg(F.count("*").alias("n"))
-    label = F.floor((2 * F.col("lo") + 2 * width * F.col("bin") + width) / 2)
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    bins = -(-(hi - lo) // width) if lo is not None else 0
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    start = 0 if lo is None else lo
+    counted = df.where(F.col(x).isNotNull()).groupBy(F.floor((F.col(x) - start) / width).alias("bin")).agg(F.count("*").alias("n"))
+    label = F.floor((F.col("bin") * (2 * width) + (2 * start + width)) / 2)
     return every.join(counted, "bin", "left").select("bin", label.alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
