@@ -113,9 +113,8 @@ def _row(limit: int, overlap: int, model: Model) -> Callable[..., Iterator[tuple
     def row(pos: int, text: str) -> Iterator[tuple]:
         inside = spans(text, model)
         found = cut(text, inside, limit, overlap)
-        # A cut below the sentence level lies inside a sentence longer than the limit: nothing else is descended into that far.
-        fine = sorted({a for _, _, a, level in found if level in ("word", "character")})
-        broken = [s for s, e in inside if e - s > limit and any(s < a < e for a in fine)]
+        # Some cut, at a line's end, between words or in one, lies inside every sentence longer than the limit.
+        broken = [s for s, e in inside if e - s > limit and any(s < a < e for _, _, a, _ in found)]
         yield pos, [dict(zip(("start_at", "end_at", "new_at", "cut_at"), p)) for p in found], broken
 
     return row
