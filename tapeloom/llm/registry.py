@@ -8,28 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import leaks, mixing, near, overlap, packing, pieces, repetition, sentences, splits, subjects
-from tapeloom.sources.tables import table
+from tapeloom.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts that the packing had to cut."""
-    return packing.samples(table(spark, sf_dir, "output_final")).where("piece > 0").select(F.col("id").alias("pos")).distinct()
+    return packing.samples(_wide(spark, sf_dir, "output_final")).where("piece > 0").select(F.col("id").alias("pos")).distinct()
 
 
 def p1_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample number and order for every transcript, or piece of one."""
-    return packing.samples(table(spark, sf_dir, "output_final")).withColumnRenamed("id", "pos")
+    return packing.samples(_wide(spark, sf_dir, "output_final")).withColumnRenamed("id", "pos")
 
 
 def p1_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the samples are."""
-    return packing.summary(packing.samples(table(spark, sf_dir, "output_final")))
+    return packing.summary(packing.samples(_wide(spark, sf_dir, "output_final")))
 
 
 def _speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.known_speakers(table(spark, sf_dir, "output_final"), table(spark, sf_dir, "mp3_file_list"), table(spark, sf_dir, "speakers"))
+    return splits.known_speakers(_wide(spark, sf_dir, "output_final"), _wide(spark, sf_dir, "mp3_file_list"), table(spark, sf_dir, "speakers"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,87 +48,87 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of transcripts with half of their runs in common, and of paths with 0.7 of their name pieces."""
-    texts = near.pairs_of(*near.similar(table(spark, sf_dir, "output_final"), "pos", "text", near.text_features, 0.5, 2))
-    paths = near.pairs_of(*near.similar(table(spark, sf_dir, "mp3_file_list"), "pos", "mp3_file_list", near.name_features, 0.7, 4))
+    texts = near.pairs_of(*near.similar(_wide(spark, sf_dir, "output_final"), "pos", "text", near.text_features, 0.5, 2))
+    paths = near.pairs_of(*near.similar(_wide(spark, sf_dir, "mp3_file_list"), "pos", "mp3_file_list", near.name_features, 0.7, 4))
     return texts.withColumn("field", F.lit("text")).unionByName(paths.withColumn("field", F.lit("path"))).select("field", "pos_a", "pos_b")
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each transcript of at least 20 words with the class of its near-copies and its number of links."""
-    return near.classes_of(*near.similar(table(spark, sf_dir, "output_final"), "pos", "text", near.text_features, 0.5, 2))
+    return near.classes_of(*near.similar(_wide(spark, sf_dir, "output_final"), "pos", "text", near.text_features, 0.5, 2))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts that say the same over and over."""
-    return repetition.judged(table(spark, sf_dir, "output_final")).where("repetitive").select("pos")
+    return repetition.judged(_wide(spark, sf_dir, "output_final")).where("repetitive").select("pos")
 
 
 def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated share of every transcript, and the rule of the list that fired."""
-    return repetition.judged(table(spark, sf_dir, "output_final"))
+    return repetition.judged(_wide(spark, sf_dir, "output_final"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of an evaluation and a training transcript that share 0.6 of the former's runs."""
-    found = overlap.overlaps(table(spark, sf_dir, "output_final"))
+    found = overlap.overlaps(_wide(spark, sf_dir, "output_final"))
     return found.select(F.least("eval_pos", "train_pos").alias("pos_a"), F.greatest("eval_pos", "train_pos").alias("pos_b")).distinct()
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlaps of every evaluation split and source."""
-    rows = table(spark, sf_dir, "output_final")
+    rows = _wide(spark, sf_dir, "output_final")
     return overlap.per_split_and_source(rows, overlap.overlaps(rows))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of more than 2,000 characters, which no cut can avoid."""
-    return pieces.oversized(table(spark, sf_dir, "output_final"), "pos", "text")
+    return pieces.oversized(_wide(spark, sf_dir, "output_final"), "pos", "text")
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every long transcript, in order, with their offsets."""
-    return pieces.pieces(table(spark, sf_dir, "output_final"), "pos", "text")
+    return pieces.pieces(_wide(spark, sf_dir, "output_final"), "pos", "text")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every transcript by its start."""
-    return sentences.sentences(table(spark, sf_dir, "output_final"), "pos", "text").select("pos", "start_at")
+    return sentences.sentences(_wide(spark, sf_dir, "output_final"), "pos", "text").select("pos", "start_at")
 
 
 def p7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every transcript in order, with its offsets."""
-    return sentences.sentences(table(spark, sf_dir, "output_final"), "pos", "text")
+    return sentences.sentences(_wide(spark, sf_dir, "output_final"), "pos", "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain at least 0.4 of an item's runs."""
-    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leaks.leaks(_wide(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.where(F.col("runs_shared") >= leaks.SHARE - 1e-9).select("doc_id", "item_id")
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the items that leaked into them, with the share that tiles cover."""
-    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.leaks(_wide(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cannot reach their share."""
-    _, shares = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    _, shares = mixing.mixed(_wide(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
     return shares.where("NOT reaches").select("source")
 
 
 def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used."""
-    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mixing.mixed(_wide(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares reached."""
-    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mixing.mixed(_wide(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subjects.subjects_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "doc_labels"))
+    return subjects.subjects_of(_wide(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "doc_labels"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +138,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus by subject."""
-    return subjects.makeup(_subjects(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return subjects.makeup(_subjects(spark, sf_dir), _wide(spark, sf_dir, "documents"))
 
 
 _QUERIES = (p1_found, p1_samples, p1_fill, p2_found, p2_splits, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p9_found, p9_uses, p9_shares, p10_found, p10_makeup)
