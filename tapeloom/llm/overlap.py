@@ -1,24 +1,26 @@
-"""Problem 5: records that stand in evaluation splits and, exactly or almost, in the training split; by content-defined chunks.
+"""Problem 5: records that stand in evaluation splits and, exactly or almost, in the training split; chunks say how alike they are.
 
-A rolling hash over two neighbouring words cuts every text's word sequence; so an edit changes the chunks it touches and no
-others. Chunk digests are joined across the splits and the shared chunks' lengths are summed for every pair.
+Candidates are found by runs of five words, and none is missed: of an evaluation record's n distinct runs a training record must hold
+``need``, 0.6 n rounded up. So a record of which training as a whole holds fewer has no pair; of one with ``seen`` runs in training each
+pair shares one at least of any ``seen - need + 1`` of them, and the rarest in training are looked up. Nothing is left out for being common,
+repeated or short. Candidates are measured on their whole sets of runs.
 
-A chunk that many records share finds candidates only where rarer ones cannot: each evaluation record leaves out its most
-common shared chunks, as many as make up a LOOSE share of its words, and looks up all others. A training record that holds
-LEAST_MET of its words by chunks looked up is measured on its runs of five words. So no pair is missed that has both shares
-together of the record's words in common chunks; texts that share SHARE of their runs have more than that, see LOOSE.
+The runs of both sides meet in buckets by hash, 40 bits each, packed by batch; equal bits of unlike runs only add candidates. A rolling hash
+over two neighbouring words cuts a text's words into chunks; of a pair the share of the record's words in common chunks is given too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tapeloom.llm.rows import batched, each
 from tapeloom.llm.words import common, hashed, mixed, runs_of, words
@@ -28,10 +30,12 @@ from tapeloom.plans.stage import staged
 LEAST_WORDS, SHARE = 20, 0.6
 #: Words in a chunk on average.
 CHUNK_WORDS = 6
-#: Shorter chunks are never looked up: hundreds of unrelated records share them.
+#: Shorter chunks are not counted: hundreds of unrelated records share them.
 LEAST_CHUNK = 3
-#: One changed word spoils its chunk and, at times, a neighbour: about nine words, where it spoils five runs.
-LOOSE, LEAST_MET = 0.1, 0.04
+#: Bits of a run's hash that are compared inside a bucket.
+_BITS = 40
+#: Training records in a row of those that hold a run.
+_HOLDERS = 4096
 
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -59,10 +63,80 @@ def chunks(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return digests, lengths[long][first]
 
 
-def _chunked(ids: list[int], evals: list[bool], texts: list[str]) -> list[list]:
-    found = [(i, e, t, *chunks(t)) for i, e, text in zip(ids, evals, texts) if len(t := words(text)) >= LEAST_WORDS]
-    same = [xxhash.xxh64_intdigest(" ".join(f[2])) - (1 << 63) for f in found]
-    return [[f[0] for f in found], [f[1] for f in found], same, [len(f[2]) for f in found], [f[3].view(np.int64) for f in found], [f[4] for f in found]]
+def _digest(tokens: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(tokens)) - (1 << 63)
+
+
+def _named(ids: list[int], evals: list[bool], texts: list[str]) -> list[list]:
+    found = [(i, e, _digest(t)) for i, e, text in zip(ids, evals, texts) if len(t := words(text)) >= LEAST_WORDS]
+    return [list(c) for c in zip(*found)] or [[], [], []]
+
+
+def _packed(buckets: int) -> Callable[..., list[list]]:
+    """A batch's distinct runs, a row a bucket and side: the records' digests, how many runs each has in the bucket, and the runs in five bytes each."""
+
+    def rows(evals: list[bool], texts: list[str]) -> list[list]:
+        sides: dict[bool, dict[int, np.ndarray]] = {True: {}, False: {}}
+        for e, text in zip(evals, texts):
+            if len(t := words(text)) >= LEAST_WORDS and (d := _digest(t)) not in sides[e]:
+                sides[e][d] = np.unique(runs_of(hashed(t)))
+        out: list[list] = [[], [], [], [], []]
+        for e, sets in sides.items():
+            if not sets:
+                continue
+            runs = np.concatenate(list(sets.values()))
+            owner = np.repeat(np.array(list(sets), dtype=np.int64), [len(r) for r in sets.values()])
+            bucket = ((runs >> np.uint64(_BITS)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            runs, owner, bucket = runs[order], owner[order], bucket[order]
+            five = np.ascontiguousarray(runs).view(np.uint8).reshape(-1, 8)[:, : _BITS // 8]
+            ends = [*(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for x, y in zip([0, *ends], ends):
+                first = np.flatnonzero(np.diff(owner[x:y], prepend=~owner[x]))
+                for c, v in zip(out, (int(bucket[x]), e, owner[x:y][first], np.diff(first, append=y - x).astype(np.int32), five[x:y].tobytes())):
+                    c.append(v)
+        return out
+
+    return rows
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Of a bucket: each evaluation record's runs that training holds, with the number of training records that do; and the holders of each such run."""
+    high = table.column("bucket")[0].as_py() << _BITS
+    sides: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+    for e in (True, False):
+        part = table.filter(pc.equal(table.column("eval"), e)).combine_chunks()
+        five = np.frombuffer(b"".join(part.column("runs").to_pylist()), dtype=np.uint8).reshape(-1, _BITS // 8)
+        runs = np.zeros((len(five), 8), dtype=np.uint8)
+        runs[:, : _BITS // 8] = five
+        owners, sizes = (pc.list_flatten(part.column(c)).to_numpy() for c in ("owners", "sizes"))
+        # Copies of a record come from several batches; those after the first are dropped.
+        once = np.zeros(len(owners), dtype=bool)
+        once[np.unique(owners, return_index=True)[1]] = True
+        kept = np.repeat(once, sizes)
+        sides[e] = runs.view(np.int64).reshape(-1)[kept], np.repeat(owners, sizes)[kept]
+    (asked, asker), (held, holder) = sides[True], sides[False]
+    wanted = np.isin(held, asked)
+    order = np.argsort(held[wanted], kind="stable")
+    held, holder = held[wanted][order], holder[wanted][order]
+    kinds, counts = np.unique(held, return_counts=True)
+    at = np.searchsorted(kinds, asked)
+    hit = at < len(kinds)
+    hit[hit] = kinds[at[hit]] == asked[hit]
+    askers, who = np.unique(asker, return_inverse=True)
+    at, of = at[hit], who[hit]
+    at = at[np.argsort(of, kind="stable")]
+    ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(askers))))
+    records = [askers, [None] * len(askers), np.bincount(who, minlength=len(askers)), ends, kinds[at] + high, counts[at]]
+    starts = np.cumsum(counts) - counts
+    rows = -(-counts // _HOLDERS)  # a common run's holders are in several rows
+    nth = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    holders = [[None] * len(nth), np.repeat(kinds, rows) + high, np.zeros(len(nth)), np.append(np.repeat(starts, rows) + nth * _HOLDERS, len(holder)), holder, np.zeros(len(holder))]
+    made = []
+    for owner, run, n, ends, *values in (records, holders):
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v.astype(t))) for v, t in zip(values, (np.int64, np.int32))]
+        made.append(pa.table([pa.array(owner, pa.int64()), pa.array(run, pa.int64()), pa.array(n.astype(np.int32)), *lists], names=["owner", "run", "n", "found", "held_by"]))
+    return pa.concat_tables(made)
 
 
 @lru_cache(maxsize=1024)
@@ -83,23 +157,27 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
     """
     rows = df.select(F.col(key).cast("long").alias("id"), split_name(split).alias("split"), F.col(text).alias("text"))
     rows = rows.where("id IS NOT NULL AND text IS NOT NULL AND split IN ('train', 'validation', 'test')").select("id", (F.col("split") != "train").alias("eval"), "text")
-    made = batched(rows, "id long, eval boolean, same long, total int, digests array<long>, lengths array<int>", _chunked)
-    made = staged(made, "chunks")
+    members = staged(batched(rows, "id long, eval boolean, same long", _named), "records")
     # Records of the same words on the same side are looked up once, by the least key among them.
-    side = made.select("id", "eval", "same").distinct()
-    members = side.join(side.groupBy("eval", "same").agg(F.min("id").alias("rep")), ["eval", "same"]).select("id", "eval", "rep")
-    one = made.groupBy("eval", "same").agg(F.min("id").alias("id"), F.max("total").alias("total"), F.min_by(F.struct("digests", "lengths"), "id").alias("c"))
-    flat = one.select("id", "eval", "total", "c.*").select("id", "eval", "total", F.explode(F.arrays_zip("digests", "lengths")).alias("c")).select("id", "eval", "total", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
-    of_digest = Window.partitionBy("digest")
-    both = flat.withColumn("in_train", F.sum((~F.col("eval")).cast("long")).over(of_digest)).withColumn("in_eval", F.sum(F.col("eval").cast("long")).over(of_digest))
-    both = staged(both.where("in_train > 0 AND in_eval > 0").select("id", "eval", "total", "digest", "length", "in_train"), "shared_chunks")
-    # Shared chunks of a record, rarest first. Those whose rest, with themselves, is under the loose share are not looked up.
-    rest = F.sum("length").over(Window.partitionBy("id", "total").orderBy(F.desc("in_train"), "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    asked = both.where("eval").dropDuplicates(["id", "total", "digest"]).withColumn("rest", rest).where(F.col("rest") >= LOOSE * F.col("total"))
-    held = both.where("NOT eval").select(F.col("id").alias("train_id"), "digest").distinct()
-    met = asked.select("id", "total", "digest", "length").join(held, "digest")
-    met = met.groupBy(F.col("id").alias("a"), F.col("train_id").alias("b"), "total").agg(F.sum("length").alias("met")).where(F.col("met") >= LEAST_MET * F.col("total")).select("a", "b").distinct()
-    pairs = staged(met, "pairs")
+    side = members.distinct()
+    rep = side.groupBy("eval", "same").agg(F.min("id").alias("rep"))
+    members = side.join(rep, ["eval", "same"]).select("id", "eval", "rep")
+    # Buckets grow in number with the data, as the session's tasks do.
+    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = batched(rows.select("eval", "text"), "bucket int, eval boolean, owners array<long>, sizes array<int>, runs binary", _packed(buckets))
+    met = staged(packed.groupBy("bucket").applyInArrow(_met, "owner long, run long, n int, found array<long>, held_by array<int>"), "met")
+
+    def asked(a: int, n: int, found: list[int], held_by: list[int]) -> Iterator[tuple]:
+        spare = len(found) - max(1, math.ceil(share * n - 1e-9))
+        for _, run in sorted(zip(held_by, found))[: spare + 1] if spare >= 0 else ():
+            yield a, run
+
+    seen = met.where("owner IS NOT NULL").groupBy("owner").agg(F.sum("n").cast("int").alias("n"), F.flatten(F.collect_list("found")).alias("found"), F.flatten(F.collect_list("held_by")).alias("held_by"))
+    looked_up = each(seen.select("owner", "n", "found", "held_by"), "same long, run long", asked)
+    left, right = rep.where("eval").select("same", F.col("rep").alias("a")), rep.where("NOT eval").select(F.col("same").alias("holder"), F.col("rep").alias("b"))
+    holders = met.where("run IS NOT NULL").select("run", F.col("found").alias("holders"))
+    shared = looked_up.join(holders, "run").select("same", F.explode("holders").alias("holder")).distinct()
+    pairs = staged(shared.join(left, "same").join(right, "holder").select("a", "b").distinct(), "pairs")
     kept = only_keys(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
     with_a = pairs.join(kept.where("eval").select(F.col("id").alias("a"), F.col("text").alias("one")), "a")
     with_b = with_a.join(kept.where("NOT eval").select(F.col("id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "one", "other")

@@ -82,6 +82,39 @@ def test_overlaps(texts):
     assert (per.records, per.overlapping, per.pairs) == (4, 1, 2)
 
 
+def against_all_runs(table):
+    """The pairs by the definition, each evaluation record against each training record."""
+    kept = {(r.pos, r.split == "train"): words.run_set(r.text) for r in table.collect()}
+    return {(a, b) for (a, train), x in kept.items() if not train for (b, other), y in kept.items() if other and words.common(x, y) >= 0.6 * len(x) - 1e-9}
+
+
+def test_overlaps_of_repetitive_records(spark):
+    said = []
+    for i in range(12):
+        said += [(i, " ".join([talk(300 + i, 40)] * 20), "test"), (100 + i, " ".join([talk(300 + i, 40)] * 20), "train")]
+        said += [(200 + i, " ".join([talk(400 + i, 40)] * 12), "test"), (300 + i, talk(400 + i, 40) + " " + talk(500 + i, 200), "train")]
+    table = spark.createDataFrame(said, "pos long, text string, split string")
+    wanted = against_all_runs(table)
+    assert {(r.eval_pos, r.train_pos) for r in overlap.overlaps(table).collect()} == wanted and len(wanted) == 24
+
+
+def test_overlaps_of_short_records(spark):
+    said = []
+    for i in range(40):
+        short = talk(600 + i, 20 + i % 11)
+        said += [(i, short, "test"), (100 + i, talk(700 + i, 30) + " " + short + " " + talk(800 + i, 30), "train"), (200 + i, edited(short, i, 1), "train")]
+        said += [(300 + i, talk(900 + i, 25), "test"), (400 + i, talk(1000 + i) + " " + " ".join(talk(900 + i, 25).split()[4:21]) + " " + talk(1100 + i), "train")]
+    table = spark.createDataFrame(said, "pos long, text string, split string")
+    wanted = against_all_runs(table)
+    assert {(r.eval_pos, r.train_pos) for r in overlap.overlaps(table).collect()} == wanted and len(wanted) > 100
+
+
+def test_common_runs_have_all_holders(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "_HOLDERS", 2)
+    table = spark.createDataFrame([(0, talk(1, 30), "test")] + [(i, talk(1, 30) + " " + talk(i, 9), "train") for i in range(1, 8)], "pos long, text string, split string")
+    assert {(r.eval_pos, r.train_pos) for r in overlap.overlaps(table).collect()} == {(0, i) for i in range(1, 8)}
+
+
 def test_packing(texts, monkeypatch):
     monkeypatch.setattr(packing, "PART_ITEMS", 4)
     got = packing.samples(texts).toPandas()
