@@ -2,7 +2,7 @@
 
 Candidates are found by runs of five words, and none is missed: of an evaluation record's n distinct runs a training record must hold
 ``need``, 0.6 n rounded up. So a record of which training as a whole holds fewer has no pair; of one with ``seen`` runs in training each
-pair shares one at least of any ``seen - need + 1`` of them, and the rarest in training are looked up. Nothing is left out for being common,
+pair shares 1 + k at least of any ``seen - need + 1 + k`` of them, and the rarest in training are looked up. Nothing is left out for being common,
 repeated or short. Candidates are measured on their whole sets of runs.
 
 The runs of both sides meet in buckets by hash, 40 bits each, packed by batch; equal bits of unlike runs only add candidates. A rolling hash
@@ -34,6 +34,8 @@ CHUNK_WORDS = 6
 LEAST_CHUNK = 3
 #: Bits of a run's hash that are compared inside a bucket.
 _BITS = 40
+#: One run for so many that are needed is looked up beside, and needed of those looked up: fewer pairs by chance, none fewer of the true.
+_MORE = 4
 #: Training records in a row of those that hold a run.
 _HOLDERS = 4096
 
@@ -168,15 +170,17 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
     met = staged(packed.groupBy("bucket").applyInArrow(_met, "owner long, run long, n int, found array<long>, held_by array<int>"), "met")
 
     def asked(a: int, n: int, found: list[int], held_by: list[int]) -> Iterator[tuple]:
-        spare = len(found) - max(1, math.ceil(share * n - 1e-9))
-        for _, run in sorted(zip(held_by, found))[: spare + 1] if spare >= 0 else ():
-            yield a, run
+        need = max(1, math.ceil(share * n - 1e-9))
+        more = (need - 1) // _MORE
+        for _, run in sorted(zip(held_by, found))[: len(found) - need + 1 + more] if len(found) >= need else ():
+            yield a, run, 1 + more
 
     seen = met.where("owner IS NOT NULL").groupBy("owner").agg(F.sum("n").cast("int").alias("n"), F.flatten(F.collect_list("found")).alias("found"), F.flatten(F.collect_list("held_by")).alias("held_by"))
-    looked_up = each(seen.select("owner", "n", "found", "held_by"), "same long, run long", asked)
+    looked_up = each(seen.select("owner", "n", "found", "held_by"), "same long, run long, least int", asked)
     left, right = rep.where("eval").select("same", F.col("rep").alias("a")), rep.where("NOT eval").select(F.col("same").alias("holder"), F.col("rep").alias("b"))
     holders = met.where("run IS NOT NULL").select("run", F.col("found").alias("holders"))
-    shared = looked_up.join(holders, "run").select("same", F.explode("holders").alias("holder")).distinct()
+    shared = looked_up.join(holders, "run").select("same", "least", F.explode("holders").alias("holder"))
+    shared = shared.groupBy("same", "least", "holder").agg(F.count("*").alias("n")).where("n >= least").select("same", "holder")
     pairs = staged(shared.join(left, "same").join(right, "holder").select("a", "b").distinct(), "pairs")
     kept = only_keys(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
     with_a = pairs.join(kept.where("eval").select(F.col("id").alias("a"), F.col("text").alias("one")), "a")
