@@ -30,7 +30,7 @@ from tapeloom.plans.stage import staged
 BINS = 32
 #: Texts of fewer words have no near-copies by definition.
 LEAST_WORDS = 20
-#: A key that more records than this have in common is refined by each record's other keys instead of joined as it is.
+#: A key that more records than this have in common is joined in blocks of about as many, each block with each.
 HOT_KEY = 200
 
 _STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(59)
@@ -72,26 +72,26 @@ def _marked(features_of: Callable[[str], np.ndarray], width: int) -> Callable[..
     def rows(ids: list[int], texts: list[str]) -> list[list]:
         kept = [(i, f) for i, t in zip(ids, texts) if len(f := features_of(t))]
         same = [xxhash.xxh64_intdigest(f.tobytes()) - (1 << 63) for _, f in kept]
-        return [[i for i, _ in kept], same, list(keys_of([f for _, f in kept], width)) if kept else []]
+        return [[i for i, _ in kept], same, [len(f) for _, f in kept], list(keys_of([f for _, f in kept], width)) if kept else []]
 
     return rows
 
 
-def _candidates(keys: DataFrame) -> DataFrame:
-    """(id, key) rows to distinct (a, b), a < b, of ids with a key in common.
+def _candidates(keys: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(id, size, key) rows to distinct (a, b), a < b, of ids with a key in common and sizes that allow for ``threshold``.
 
-    Keys that over HOT_KEY ids share are replaced by pairs of keys: (that key, another key of the id). So hot keys
-    emit pairs only for ids that have a second key in common as well, as true neighbours nearly always do.
+    All ids of a key meet, however many they are. A key that over HOT_KEY ids share is spread over tasks in blocks of its ids:
+    each pair of blocks is joined on its own.
     """
     counted = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     counted = staged(counted, "keys")
-    few = counted.where(F.col("n") <= HOT_KEY).select("id", "key")
-    hot = counted.where(F.col("n") > HOT_KEY).select("id", "key")
-    finer = hot.alias("h").join(counted.alias("o"), (F.col("h.id") == F.col("o.id")) & (F.col("h.key") != F.col("o.key")))
-    finer = finer.select(F.col("h.id").alias("id"), F.xxhash64(F.least("h.key", "o.key"), F.greatest("h.key", "o.key")).alias("key")).distinct()
-    rows = few.unionByName(finer)
+    blocks = F.ceil(F.col("n") / HOT_KEY).cast("int")
+    rows = counted.select("id", "size", "key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     left, right = rows.alias("l"), rows.alias("r")
-    return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own")) & (F.col("l.id") < F.col("r.id")))
+    # The features in common are at most the smaller set, those in either at least the larger.
+    met = met.where(F.least("l.size", "r.size") >= threshold * F.greatest("l.size", "r.size") - F.lit(1e-9))
+    return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 def similar(df: DataFrame, key: str, text: str, features_of: Callable[[str], np.ndarray], threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
@@ -103,10 +103,10 @@ def similar(df: DataFrame, key: str, text: str, features_of: Callable[[str], np.
     several texts counts with each. Columns beside ``key`` and ``text`` are not read.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    marks = staged(batched(rows, "id long, same long, keys array<long>", _marked(features_of, width)), "marks")
-    reps = marks.groupBy("same").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"))
+    marks = staged(batched(rows, "id long, same long, size int, keys array<long>", _marked(features_of, width)), "marks")
+    reps = marks.groupBy("same").agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.min_by("keys", "id").alias("keys"))
     members = marks.select("id", "same").distinct().join(marks.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep")
-    pairs = staged(_candidates(reps.select(F.col("rep").alias("id"), F.explode(F.array_distinct("keys")).alias("key"))), "pairs")
+    pairs = staged(_candidates(reps.select(F.col("rep").alias("id"), "size", F.explode(F.array_distinct("keys")).alias("key")), threshold), "pairs")
     rows = only_keys(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
 
     kept: list[Callable[[str], np.ndarray]] = []  # made in each task: features of the texts of its last pairs, as a text is often in several

@@ -56,6 +56,13 @@ def test_hot_keys_are_refined(texts, monkeypatch):
     assert {tuple(r) for r in near.pairs_of(*near.similar(texts, "pos", "text", near.text_features, 0.5, 2)).collect()} == before
 
 
+def test_hot_keys_lose_no_pair(spark):
+    keys = spark.range(450).select("id", F.lit(9).alias("size"), F.lit(7).cast("long").alias("key")).unionByName(spark.createDataFrame([(450, 4, 7), (451, 9, 8), (3, 9, 8)], "id long, size int, key long"))
+    assert near._candidates(keys).count() == 451 * 450 // 2 + 1
+    got = {tuple(r) for r in near._candidates(keys, 0.5).collect()}
+    assert got == {(a, b) for b in range(450) for a in range(b)} | {(3, 451)}
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(45)] + [(3, 3), (None, 4), (100, 101), (101, 102), (102, 100)]
