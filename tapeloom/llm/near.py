@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,8 +32,13 @@ from tapeloom.plans.stage import staged
 BINS = 32
 #: Texts of fewer words have no near-copies by definition.
 LEAST_WORDS = 20
-#: A key that more records than this have in common is joined in blocks of about as many, each block with each.
+#: The records of a key that more than this have in common don't meet by the key but by their rarest features, which misses no pair at the threshold.
 HOT_KEY = 200
+#: Keys in a bucket, about, and in the stretch of rows that a task sorts at once: some 200 MB at work.
+BUCKET_KEYS = 4_000_000
+#: Bits of a key that are compared inside a bucket; equal bits of unlike keys only add candidates.
+_KEY_BITS = 40
+_SPREAD = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("keys", pa.binary())])
 
 _STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(59)
 _SLOTS = mixed(np.arange(1, BINS + 1, dtype=np.uint64))
@@ -77,19 +84,132 @@ def _marked(features_of: Callable[[str], np.ndarray], width: int) -> Callable[..
     return rows
 
 
-def _candidates(keys: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """(id, size, key) rows to distinct (a, b), a < b, of ids with a key in common and sizes that allow for ``threshold``.
+def _spread(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, size, keys) rows to a row a bucket of keys: the keys in five bytes each, with ids and sizes.
 
-    All ids of a key meet, however many they are. A key that over HOT_KEY ids share is spread over tasks in blocks of its ids:
-    each pair of blocks is joined on its own.
+    A key that more than HOT_KEY records of one stretch of rows have goes on with HOT_KEY + 1 of them, enough to show that it is hot; the
+    stretch's records with such keys travel in a row without keys. So no bucket gets more of a key than HOT_KEY + 1 for each stretch.
     """
-    counted = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    counted = staged(counted, "keys")
+
+    def flushed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        column = table.column("keys").combine_chunks()
+        keys, n = pc.list_flatten(column).to_numpy(), pc.list_value_length(column).to_numpy()
+        owner = np.repeat(np.arange(len(n)), n)
+        ids, sizes = (table.column(c).combine_chunks().to_numpy() for c in ("id", "size"))
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        kept = np.ones(len(keys), dtype=bool)
+        kept[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        keys, owner = keys[kept], owner[kept]
+        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        nth = np.arange(len(keys)) - np.repeat(first, counts)
+        hot = np.unique(owner[np.repeat(counts > HOT_KEY, counts)])
+        kept = nth <= HOT_KEY
+        bits, owner = keys[kept].view(np.uint64), owner[kept]
+        bucket = (bits >> np.uint64(_KEY_BITS)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        bits, owner, bucket = bits[order], owner[order], bucket[order].astype(np.int32)
+        five = np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 8)[:, : _KEY_BITS // 8]
+        ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)) if len(bucket) else np.zeros(0, dtype=np.int64)
+        starts = np.append(0, ends[:-1]) if len(ends) else ends
+        made = [[int(b) for b in bucket[starts]], [ids[owner[x:y]] for x, y in zip(starts, ends)], [sizes[owner[x:y]] for x, y in zip(starts, ends)], [five[x:y].tobytes() for x, y in zip(starts, ends)]]
+        if len(hot):
+            for c, v in zip(made, (int(ids[hot[0]] % buckets), ids[hot], sizes[hot], None)):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(made, _SPREAD)], schema=_SPREAD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) * BINS >= BUCKET_KEYS:
+                yield flushed(held)
+                held = []
+        if held:
+            yield flushed(held)
+
+    return run
+
+
+def _meeting(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's rows to (a, b), a < b, for ids with a key in common and sizes that allow for ``threshold``; to (id, NULL) for ids with a hot key."""
+
+    def met(table: pa.Table) -> pa.Table:
+        sent = table.filter(table.column("keys").is_null()).combine_chunks()
+        table = table.filter(table.column("keys").is_valid()).combine_chunks()
+        five = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint8).reshape(-1, _KEY_BITS // 8)
+        wide = np.zeros((len(five), 8), dtype=np.uint8)
+        wide[:, : _KEY_BITS // 8] = five
+        keys = wide.view(np.int64).reshape(-1)
+        ids, sizes = (pc.list_flatten(table.column(c)).to_numpy() for c in ("ids", "sizes"))
+        order = np.argsort(keys, kind="stable")
+        keys, ids, sizes = keys[order], ids[order], sizes[order]
+        _, counts = np.unique(keys, return_counts=True)
+        counts = np.repeat(counts, counts)
+        hot = np.unique(np.concatenate([ids[counts > HOT_KEY], pc.list_flatten(sent.column("ids")).to_numpy()]))
+        cold = (counts > 1) & (counts <= HOT_KEY)
+        keys, ids, sizes = keys[cold], ids[cold], sizes[cold]
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for apart in range(1, HOT_KEY):
+            i = np.flatnonzero(keys[apart:] == keys[:-apart])
+            if not len(i):
+                break
+            # The features in common are at most the smaller set, those in either at least the larger.
+            x, y = sizes[i], sizes[i + apart]
+            i = i[np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9]
+            found.append(np.stack([np.minimum(ids[i], ids[i + apart]), np.maximum(ids[i], ids[i + apart])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        ends = [np.concatenate([pairs[:, 0], hot]), np.concatenate([pairs[:, 1], hot])]
+        alone = np.arange(len(ends[0])) >= len(pairs)
+        return pa.table([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64(), mask=alone)], names=["a", "b"])
+
+    return met
+
+
+def _candidates(keys: DataFrame, rows: DataFrame, features_of: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
+    """(id, size, keys) rows, with the texts (id, text) they were made of, to distinct (a, b), a < b, of ids with a key in common.
+
+    Keys meet in buckets, so many that one holds some BUCKET_KEYS of them. Records with a key that over HOT_KEY records share are left to ``_by_rare``,
+    which misses none of their pairs at ``threshold``.
+    """
+    buckets = max(2 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-BINS * keys.count() // BUCKET_KEYS))
+    spread = keys.select("id", "size", "keys").mapInArrow(_spread(buckets), "bucket int, ids array<long>, sizes array<int>, keys binary")
+    met = staged(spread.groupBy("bucket").applyInArrow(_meeting(threshold), "a long, b long"), "met")
+    pairs = met.where("b IS NOT NULL").distinct()
+    hot = met.where("b IS NULL").select(F.col("a").alias("id")).distinct()
+    if hot.isEmpty():
+        return pairs
+    return pairs.unionByName(_by_rare(only_keys(rows, hot, "id"), features_of, threshold)).distinct()
+
+
+def _by_rare(rows: DataFrame, features_of: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
+    """(id, text) to (a, b), a < b: all pairs that may reach ``threshold``, exactly, however many records share a key.
+
+    Two records at the threshold share at least ``threshold`` of either's features, so each has a shared one among its n - ceil(threshold n) + 1 rarest, by
+    how many of ``rows`` hold them. What a third of the rows have in common is in no record's rarest ones, unless it is most of the record.
+    A feature that over HOT_KEY records still have there is joined in blocks of its records.
+    """
+
+    def features(i: int, text: str) -> Iterator[tuple]:
+        f = features_of(text)
+        yield i, xxhash.xxh64_intdigest(f.tobytes()) - (1 << 63), f.view(np.int64).tolist()
+
+    kinds = each(rows, "id long, same long, features array<long>", features).groupBy("id", "same").agg(F.first("features").alias("features"))
+    flat = staged(kinds.select("id", "same", F.size("features").alias("size"), F.explode("features").alias("key")), "features")
+    often = flat.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
+    shared = flat.join(often, "key")
+    # Features of one record only come first: a record's others start behind them.
+    of_id = Window.partitionBy("id", "same")
+    place = F.row_number().over(of_id.orderBy("f", "key")) + F.col("size") - F.count("*").over(of_id)
+    most = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + 1
+    rare = staged(shared.withColumn("place", place).where(F.col("place") <= most).select("id", "size", "key"), "rare")
+    counted = rare.join(rare.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     blocks = F.ceil(F.col("n") / HOT_KEY).cast("int")
-    rows = counted.select("id", "size", "key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    left, right = rows.alias("l"), rows.alias("r")
+    spread = counted.select("id", "size", "key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    left, right = spread.alias("l"), spread.alias("r")
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own")) & (F.col("l.id") < F.col("r.id")))
-    # The features in common are at most the smaller set, those in either at least the larger.
     met = met.where(F.least("l.size", "r.size") >= threshold * F.greatest("l.size", "r.size") - F.lit(1e-9))
     return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
@@ -106,7 +226,8 @@ def similar(df: DataFrame, key: str, text: str, features_of: Callable[[str], np.
     marks = staged(batched(rows, "id long, same long, size int, keys array<long>", _marked(features_of, width)), "marks")
     reps = marks.groupBy("same").agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.min_by("keys", "id").alias("keys"))
     members = marks.select("id", "same").distinct().join(marks.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep")
-    pairs = staged(_candidates(reps.select(F.col("rep").alias("id"), "size", F.explode(F.array_distinct("keys")).alias("key")), threshold), "pairs")
+    reps = reps.select(F.col("rep").alias("id"), "size", "keys")
+    pairs = staged(_candidates(reps, rows, features_of, threshold), "pairs")
     rows = only_keys(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
 
     kept: list[Callable[[str], np.ndarray]] = []  # made in each task: features of the texts of its last pairs, as a text is often in several

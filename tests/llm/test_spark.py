@@ -56,11 +56,30 @@ def test_hot_keys_are_refined(texts, monkeypatch):
     assert {tuple(r) for r in near.pairs_of(*near.similar(texts, "pos", "text", near.text_features, 0.5, 2)).collect()} == before
 
 
-def test_hot_keys_lose_no_pair(spark):
-    keys = spark.range(450).select("id", F.lit(9).alias("size"), F.lit(7).cast("long").alias("key")).unionByName(spark.createDataFrame([(450, 4, 7), (451, 9, 8), (3, 9, 8)], "id long, size int, key long"))
-    assert near._candidates(keys).count() == 451 * 450 // 2 + 1
-    got = {tuple(r) for r in near._candidates(keys, 0.5).collect()}
-    assert got == {(a, b) for b in range(450) for a in range(b)} | {(3, 451)}
+def brute_force_pairs(texts, features_of, threshold):
+    sets = [(i, features_of(t)) for i, t in texts]
+    return {(min(a, b), max(a, b)) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if a != b and (c := words.common(x, y)) and c >= threshold * (len(x) + len(y) - c)}
+
+
+def test_hot_keys_lose_no_pair(spark, monkeypatch):
+    """A passage that all rows share, a family of edits, names of one pattern: the keys they share are hot, the pairs those of brute force."""
+    monkeypatch.setattr(near, "HOT_KEY", 20)
+    common = talk(900, 80)
+    said = [(i, common + " " + talk(i, 60 + i % 50)) for i in range(90)] + [(200 + i, edited(talk(901, 120), i, 5)) for i in range(70)]
+    members, links = near.similar(spark.createDataFrame(said, "pos long, text string").repartition(3), "pos", "text", near.text_features, 0.5, 2)
+    wanted = brute_force_pairs(said, near.text_features, 0.5)
+    assert {tuple(r) for r in near.pairs_of(members, links).collect()} == wanted and len(wanted) > 500
+    names = [(i, f"a/{'07 the bell and the river'[: 12 + i % 12]} of {talk(i, 1)[:3]}{WORDS[i % 20]}.mp3") for i in range(150)]
+    members, links = near.similar(spark.createDataFrame(names, "pos long, path string"), "pos", "path", near.name_features, 0.7, 4)
+    wanted = brute_force_pairs(names, near.name_features, 0.7)
+    assert {tuple(r) for r in near.pairs_of(members, links).collect()} == wanted and wanted
+
+
+def test_rarest_features_miss_no_pair(spark):
+    draw = random.Random(8)
+    said = [(i, edited(talk(i % 25, 40 + i % 25), i, draw.randrange(8)) + (" " + talk(700, 30) if i % 3 else "")) for i in range(140)]
+    got = {tuple(r) for r in near._by_rare(spark.createDataFrame(said, "id long, text string"), near.text_features, 0.5).collect()}
+    assert got >= brute_force_pairs(said, near.text_features, 0.5)
 
 
 def test_components(spark):
