@@ -1,25 +1,29 @@
 """Problem 8: evaluation texts inside training text, by greedy string tiling.
 
-The items' runs of five words are the seeds. A document that holds seeds of an item is tiled with it: again and again the longest
-match between words that no tile covers yet is marked, found by running Karp-Rabin hashes over windows that shrink. Tiles may
-lie in any order, so passages that were reordered count in full. Items are worked on in blocks, each sent to all tasks.
+The items' runs of five words are the seeds, joined with the documents' runs. A document that holds enough seeds of an item is tiled with it: again and
+again the longest match between words that no tile covers yet is marked, found by running Karp-Rabin hashes over windows that shrink. Tiles may
+lie in any order, so passages that were reordered count in full.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.rows import each
-from tapeloom.llm.words import RUN, hashed, runs_of, words
+from tapeloom.llm.words import RUN, common, hashed, runs_of, words
+from tapeloom.plans.filtering import only_keys
+from tapeloom.plans.stage import staged
 
 SHARE = 0.4
-#: Words of items in a block: some 50 MB in a task. Further items are further blocks, each a pass over the documents.
-BLOCK_WORDS = 2_000_000
+#: Bits, as a power of two, of the filter that keeps documents' runs which no item holds out of the join: 8 MB. More items only fill it.
+FILTER_BITS = 26
 _PRIME, _BASE = (1 << 61) - 1, 1_000_003
 
 
@@ -96,83 +100,73 @@ def tiles(a: list[int], b: list[int], least: int = RUN, first: int = 64) -> list
         size = max(least, min(size // 2, _longest(free_a), _longest(free_b)))
 
 
-class Items:
-    """A block of items: their word hashes, and all their distinct runs with the items they stand in."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = [i for i, _ in rows]
-        self.hashes = [hashed(words(t)) for _, t in rows]
-        sets = [np.unique(runs_of(h)) for h in self.hashes]
-        self.n_runs = [len(s) for s in sets]
-        runs = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
-        of = np.repeat(np.arange(len(sets)), self.n_runs)
-        order = np.argsort(runs, kind="stable")
-        self.runs, self.of = runs[order], of[order]
-
-    def met(self, runs: np.ndarray) -> dict[int, int]:
-        """How many of each item's distinct runs are among ``runs``, for the items with any."""
-        kinds = np.unique(runs)
-        a, b = np.searchsorted(self.runs, kinds), np.searchsorted(self.runs, kinds, side="right")
-        hit = np.flatnonzero(b > a)
-        if not len(hit):
-            return {}
-        of = np.concatenate([self.of[x:y] for x, y in zip(a[hit], b[hit])])
-        kinds, counts = np.unique(of, return_counts=True)
-        return dict(zip(kinds.tolist(), counts.tolist()))
-
-
-def _leaks(items: Items, least_tiled: float) -> Callable[..., Iterator[tuple]]:
-    seeds = np.unique(items.runs)
-
-    def row(doc: int, text: str) -> Iterator[tuple]:
-        h = hashed(words(text))
-        runs = runs_of(h)
-        if not len(runs) or not len(seeds):
-            return
-        at = np.searchsorted(seeds, runs)
-        at[at == len(seeds)] = 0
-        runs = runs[seeds[at] == runs]
-        if not len(runs):
-            return
-        document: list[int] | None = None
-        for k, n in items.met(runs).items():
-            # Tiles cover at most the words of the runs met, five each.
-            if n * RUN < least_tiled * len(items.hashes[k]):
-                continue
-            document = document or h.tolist()
-            item = items.hashes[k].tolist()
-            found = tiles(item, document)
-            covered = sum(t for _, _, t in found)
-            if covered >= least_tiled * len(item):
-                yield doc, items.ids[k], covered / len(item), n / items.n_runs[k], len(found), max(t for _, _, t in found)
-
-    return row
-
-
-def leaks(docs: DataFrame, items: DataFrame, least_tiled: float = 0.25, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, tiled, runs_shared, n_tiles, longest): documents and the items of which tiles cover at least ``least_tiled``.
-
-    ``tiled`` is the share of the item's words in tiles of at least five words, ``runs_shared`` that of its distinct runs that stand in the
-    document. NULL keys and texts, and items under five words, are in no row. Repeated rows count once; a key with several texts
-    counts with the one that leaked most. Items are read in blocks of BLOCK_WORDS words; all of them are looked for in all documents.
+def _seeds(item: int, text: str) -> Iterator[tuple]:
+    """Of an item: each distinct run, how often it stands in the item, and the item's distinct runs and words."""
+    h = hashed(words(text))
+    kinds, times = np.unique(runs_of(h), return_counts=True)
+    for run, n in zip(kinds.view(np.int64).tolist(), times.tolist()):
+        yield item, xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63), run, n, len(kinds), len(h)
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """The bits that any seed sets, packed. Whatever the seeds, no more than 2^FILTER_BITS bits come to the driver, as at most 2^(FILTER_BITS - 6) words."""
+    slot = F.shiftrightunsigned("run", 64 - FILTER_BITS)
+    one = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+    held = seeds.select(slot.alias("slot")).withColumn("one", one).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(one)").alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    bits[held["at"].to_numpy(dtype=np.int64)] = held["bits"].to_numpy(dtype=np.int64)
+    return bits
+
+
+def _met(docs: DataFrame, seeds: DataFrame, least_tiled: float, share: float) -> DataFrame:
+    """(doc, item): the pairs that may be leaks, by the runs of the item that stand in the document.
+
+    Pairs stay that share ``share`` of the item's distinct runs, or of which the runs met, each as often as it stands in the item and of five words, can
+    cover ``least_tiled`` of the item's words. Runs of documents that no item holds are left out before the join by a filter of bounded size.
     """
-    wanted = items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(text).alias("t")).distinct()
-    rows = docs.select(F.col(doc_key).cast("long").alias("d"), F.col(text).alias("t")).where("d IS NOT NULL AND t IS NOT NULL")
-    schema = "doc_id long, item_id long, tiled double, runs_shared double, n_tiles int, longest int"
-    found: DataFrame | None = None
-    block: list[tuple[int, str]] = []
-    size = 0
-
-    def flushed() -> DataFrame:
-        made = each(rows, schema, _leaks(Items(block), least_tiled), rows=4096)
-        return made if found is None else found.unionByName(made)
-
-    for r in wanted.orderBy("i", "t").toLocalIterator():
-        block.append((r.i, r.t))
-        size += len(r.t) // 5
-        if size >= BLOCK_WORDS:
-            found, block, size = flushed(), [], 0
-    if block or found is None:
-        found = flushed()
+    bits, low = docs.sparkSession.sparkContext.broadcast(_filter(seeds)), np.uint64(64 - FILTER_BITS)
+
+    def runs(doc: int, text: str) -> Iterator[tuple]:
+        kinds = np.unique(runs_of(hashed(words(text))))
+        at = (kinds >> low).astype(np.int64)
+        kinds = kinds[(bits.value[at >> 6] >> (at & 63)) & 1 == 1]
+        if len(kinds):
+            yield doc, kinds.view(np.int64).tolist()
+
+    held = each(docs, "doc long, runs array<long>", runs, rows=2048).select("doc", F.explode("runs").alias("run")).distinct()
+    met = held.join(seeds, "run").groupBy("doc", "item", "same", "n_runs", "n_words").agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+    may = (F.col("n") >= share * F.col("n_runs") - F.lit(1e-9)) | (RUN * F.col("times") >= least_tiled * F.col("n_words") - F.lit(1e-9))
+    return met.where(may).select("doc", "item").distinct()
+
+
+def leaks(docs: DataFrame, items: DataFrame, least_tiled: float = 0.25, share: float = SHARE, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id, tiled, runs_shared, n_tiles, longest): documents and the items that leaked into them.
+
+    A pair is in the result if tiles cover ``least_tiled`` of the item's words, or ``share`` of its distinct runs stand in the document, in whatever order and
+    however little the tiles cover. ``tiled`` is the share of the item's words in tiles of at least five words, ``runs_shared`` that of its
+    distinct runs. NULL keys and texts, and items under five words, are in no row. Repeated rows count once; a key with several texts
+    counts with the one that leaked most. Items may be as many as documents: nothing of them is collected but a filter of 2^FILTER_BITS bits.
+    """
+    wanted = items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(F.col(item_key).cast("long").alias("item"), F.col(text).alias("passage")).distinct()
+    rows = docs.select(F.col(doc_key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
+    seeds = staged(each(wanted, "item long, same long, run long, times int, n_runs int, n_words int", _seeds).distinct(), "seeds")
+    met = staged(_met(rows, seeds, least_tiled, share), "met")
+    documents = only_keys(rows, met.select("doc").distinct(), "doc").distinct()
+    pairs = met.join(documents, "doc").join(wanted, "item").select("doc", "item", "text", "passage")
+    kept: list[Callable[[str], list[int]]] = []  # made in each task: the words of its last texts, as a text is often in several pairs
+
+    def tiled(doc: int, item: int, document: str, passage: str) -> Iterator[tuple]:
+        if not kept:
+            kept.append(lru_cache(maxsize=256)(lambda t: hashed(words(t)).tolist()))
+        b, a = kept[0](document), kept[0](passage)
+        x, y = np.unique(runs_of(np.array(a, dtype=np.uint64))), np.unique(runs_of(np.array(b, dtype=np.uint64)))
+        if not len(x) or not (both := common(x, y)):
+            return
+        found = tiles(a, b)
+        covered = sum(t for _, _, t in found)
+        if covered >= least_tiled * len(a) or both >= share * len(x) - 1e-9:
+            yield doc, item, covered / len(a), both / len(x), len(found), max(t for _, _, t in found)
+
+    found = each(pairs, "doc_id long, item_id long, tiled double, runs_shared double, n_tiles int, longest int", tiled)
     best = F.max(F.struct("runs_shared", "tiled", "n_tiles", "longest")).alias("s")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "s.tiled", "s.runs_shared", "s.n_tiles", "s.longest")

@@ -173,14 +173,23 @@ def test_leaks(spark, texts):
     assert [(r.doc_id, r.item_id, r.runs_shared) for r in got] == [(5, 1, 1.0)]
 
 
-def test_leaks_in_blocks(texts, monkeypatch):
+def test_leaks_of_many_items(texts, monkeypatch):
     docs = texts.withColumn("doc_id", F.col("pos"))
     items = texts.select(F.col("pos").alias("item_id"), "text").where("item_id < 8")
     whole = {tuple(r) for r in leaks.leaks(docs, items).collect()}
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(leaks, "FILTER_BITS", 8)  # a filter that lets nearly all through
     assert {tuple(r) for r in leaks.leaks(docs, items).collect()} == whole and len(whole) > 8
 
 
+def test_leaks_of_items_that_repeat_themselves(spark):
+    refrain, verse = talk(1, 8), talk(2, 20)
+    items = spark.createDataFrame([(1, " ".join(["round and round it goes"] * 40)), (2, " ".join([refrain] * 30) + " " + verse), (3, " ".join([talk(3, 20)] * 4) + " " + talk(4, 20))], "item_id long, text string")
+    docs = spark.createDataFrame([(10, talk(5) + " " + " ".join(["round and round it goes"] * 40)), (11, talk(6) + " " + verse), (12, talk(3, 20) + " " + talk(7)), (13, talk(8))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks.leaks(docs, items).collect()}
+    assert set(got) == {(10, 1), (11, 2), (12, 3)}
+    assert got[10, 1].runs_shared == got[10, 1].tiled == 1.0 and got[11, 2].runs_shared == pytest.approx(16 / 28) and got[11, 2].tiled < 0.25
+
+
 def test_mixing(spark, texts):
     docs = texts.withColumn("doc_id", F.col("pos")).withColumn("source", F.when(F.col("source") == "a", " A").otherwise(F.col("source")))
     mix = spark.createDataFrame([("a", 0.2, 1), ("b", 0.8, 2), (None, 0.1, 1), ("none", 0.0, 3)], "source string, target_share double, max_repeats int")
