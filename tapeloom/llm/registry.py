@@ -68,6 +68,11 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judged(_wide(spark, sf_dir, "output_final"))
 
 
+def p4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each rule of the list, the transcripts it fired on and how many of them are repetitive."""
+    return repetition.by_rule(repetition.judged(_wide(spark, sf_dir, "output_final")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of an evaluation and a training transcript that share 0.6 of the former's runs."""
     found = overlap.overlaps(_wide(spark, sf_dir, "output_final"))
@@ -141,7 +146,7 @@ def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.makeup(_subjects(spark, sf_dir), _wide(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_samples, p1_fill, p2_found, p2_splits, p3_found, p3_classes, p4_found, p4_shares, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p9_found, p9_uses, p9_shares, p10_found, p10_makeup)
+_QUERIES = (p1_found, p1_samples, p1_fill, p2_found, p2_splits, p3_found, p3_classes, p4_found, p4_shares, p4_rules, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p9_found, p9_uses, p9_shares, p10_found, p10_makeup)
 
 
 def queries() -> dict[str, Query]:

@@ -1,8 +1,9 @@
 """Problem 4: repetition inside a document, judged by a learned decision list.
 
-Every text gets a row of statistics. The list is learned from a bounded sample of rows labelled by the definition: sequential
-covering grows a conjunction of thresholds, prunes it on held-out rows, removes what it covers and goes on; the rules become one
-ordered Spark conditional. Rows that the list passes on are measured against the definition itself.
+Every text gets a row of statistics. The list is learned from a bounded sample of rows labelled by the definition, which is none of the
+statistics: sequential covering grows a conjunction of thresholds, prunes it on held-out rows, removes what it covers and goes on; the rules become one
+ordered Spark conditional. Its last rule isn't learned: it holds for whatever the definition can hold for, so that the list loses no
+row, whatever the sample had. Rows on which a rule fires are checked against the definition itself.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from tapeloom.plans.stage import staged
 LEAST_WORDS, SHARE = 30, 0.25
 #: Labelled rows that the list is learned from, at most: those with the least hash of their key.
 TRAINING_ROWS = 20_000
-STATISTICS = ("n_words", "line_repeats", "sentence_repeats", "pair_repeats", "run_repeats", "long_repeats", "top_pair", "squeeze")
-_SCHEMA = "pos long, " + ", ".join(f"{s} double" for s in STATISTICS)
+STATISTICS = ("n_words", "line_repeats", "sentence_repeats", "pair_repeats", "top_pair", "squeeze")
+#: The shares that are reported and that the definition is about; the list doesn't see them.
+SHARES = ("run_repeats", "long_repeats")
+_SCHEMA = "pos long, " + ", ".join(f"{s} double" for s in STATISTICS + SHARES)
 _PART = re.compile(r"[.!?…。！？।؟\r\n]+")
 
 
@@ -38,10 +41,10 @@ def _share(parts: list[str]) -> float:
 
 
 def statistics(text: str | None) -> list[float]:
-    """The values of STATISTICS for a text; all 0 for NULL, empty and blank ones."""
+    """The values of STATISTICS and SHARES for a text; all 0 for NULL, empty and blank ones."""
     tokens = words(text)
     if not tokens:
-        return [0.0] * len(STATISTICS)
+        return [0.0] * len(STATISTICS + SHARES)
     h = hashed(tokens)
     pairs = h[:-1] * np.uint64(31) + h[1:]
     kinds, counts = np.unique(pairs, return_counts=True)
@@ -53,10 +56,10 @@ def statistics(text: str | None) -> list[float]:
         _share(text.splitlines()),
         _share(_PART.split(text)),
         1 - len(kinds) / len(pairs) if len(pairs) else 0.0,
-        _repeats(runs),
-        _repeats(wide),
         float(counts.max() / len(pairs)) if len(pairs) else 0.0,
         1 - len(zlib.compress(raw, 1)) / len(raw),
+        _repeats(runs),
+        _repeats(wide),
     ]
 
 
@@ -149,29 +152,43 @@ def conditional(rules: list[Rule]) -> Column:
 
 
 def measured(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A row of STATISTICS for every row with a key; repeated rows count once, of several texts of a key the more repetitive counts."""
+    """A row of STATISTICS and SHARES for every row with a key; repeated rows count once, of several texts of a key the more repetitive counts."""
+    every = STATISTICS + SHARES
 
     def rows(ids: list[int], texts: list[str | None]) -> list[list]:
-        return [ids, *(list(c) for c in zip(*map(statistics, texts)))] if ids else [[] for _ in range(len(STATISTICS) + 1)]
+        return [ids, *(list(c) for c in zip(*map(statistics, texts)))] if ids else [[] for _ in range(len(every) + 1)]
 
     made = batched(df.select(F.col(key).cast("long").alias("pos"), F.col(text).alias("text")).where("pos IS NOT NULL"), _SCHEMA, rows)
-    return made.groupBy("pos").agg(F.max(F.struct("run_repeats", *(s for s in STATISTICS if s != "run_repeats"))).alias("s")).select("pos", *(f"s.{s}" for s in STATISTICS))
+    return made.groupBy("pos").agg(F.max(F.struct("run_repeats", *(s for s in every if s != "run_repeats"))).alias("s")).select("pos", *(f"s.{s}" for s in every))
 
 
-def _label() -> Column:
+def _defined() -> Column:
     return (F.col("n_words") >= LEAST_WORDS) & (F.col("run_repeats") >= SHARE - 1e-12)
 
 
+def _possible() -> Column:
+    """Whether the definition can hold: where a run repeats an earlier one its first two words repeat an earlier pair, so a text has as many repeated pairs as runs, or more."""
+    return (F.col("n_words") >= LEAST_WORDS) & (F.col("pair_repeats") * (F.col("n_words") - 1) >= SHARE * (F.col("n_words") - RUN + 1) - 1e-6)
+
+
 def judged(df: DataFrame, key: str = "pos", text: str = "text", sample: int = TRAINING_ROWS) -> DataFrame:
-    """(pos, STATISTICS..., rule, repetitive): the repeated share of every text, the rule that fired, and the verdict.
+    """(pos, STATISTICS..., SHARES..., rule, listed, repetitive): the repeated share of every text, the rule that fired, and the verdict.
 
-    ``rule`` is 0 where none did. ``repetitive`` holds where a rule fired and the definition agrees: at least 30 words and a
-    quarter of the runs repeating earlier ones. NULL, empty and blank texts have statistics of 0 and aren't repetitive. A
-    table too small to show a repetitive text has the definition's own two thresholds for a rule.
+    ``rule`` is the first learned rule that holds, -1 where only the last one does, 0 where none does; ``listed`` is what the learned rules alone say.
+    ``repetitive`` holds where a rule fired and the definition does: at least 30 words and a quarter of the runs repeating earlier ones.
+    ``run_repeats`` is the share of runs that do, ``long_repeats`` that of ten words. NULL, empty and blank texts have
+    statistics of 0 and aren't repetitive.
     """
     stats = staged(measured(df, key, text), "statistics")
-    rows = bounded_sample(stats.withColumn("y", _label()), "pos", sample)
+    rows = bounded_sample(stats.withColumn("y", _defined()), "pos", sample)
     x = np.array([[r[s] for s in STATISTICS] for r in rows], dtype=float).reshape(-1, len(STATISTICS))
-    y = np.array([r["y"] for r in rows], dtype=bool)
-    rules = learned(x, y) or [Rule((("n_words", True, float(LEAST_WORDS)), ("run_repeats", True, SHARE - 1e-12)))]
-    return stats.withColumn("rule", conditional(rules)).withColumn("repetitive", (F.col("rule") > 0) & _label())
+    rules = learned(x, np.array([r["y"] for r in rows], dtype=bool))
+    fired = conditional(rules)
+    seen = stats.withColumn("rule", F.when(fired > 0, fired).when(_possible(), -1).otherwise(0))
+    return seen.withColumn("listed", F.col("rule") > 0).withColumn("repetitive", (F.col("rule") != 0) & _defined())
+
+
+def by_rule(rows: DataFrame) -> DataFrame:
+    """(rule, texts, repetitive, mean_share): of the rows of ``judged`` on which each rule fired, how many the definition calls repetitive."""
+    yes = F.count(F.when(F.col("repetitive"), 1)).alias("repetitive")
+    return rows.groupBy("rule").agg(F.count("*").alias("texts"), yes, F.avg("run_repeats").alias("mean_share"))

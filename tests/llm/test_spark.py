@@ -155,6 +155,20 @@ def test_repetition(texts):
     assert got[33].repetitive and sum(r.repetitive for r in got.values()) == 1 and got[30].n_words == 0 and None not in got
 
 
+def test_no_repetitive_text_is_lost(spark):
+    """Texts near the threshold, of which the sample that the list is learned from has none."""
+    said = []
+    for i in range(200):
+        base = talk(i, 200).split()
+        again = 0 if i < 100 else 56 + i % 50  # runs of a repeated stretch: its words less four
+        said.append((i, " ".join(base + base[: again + 4] if again else base)))
+    table = spark.createDataFrame(said, "pos long, text string")
+    wanted = {i for i, t in said if (w := t.split()) and (n := len(w) - 4) - len({tuple(w[j : j + 5]) for j in range(n)}) >= 0.25 * n}
+    for sample in (1, 10, 20_000):
+        assert {r.pos for r in repetition.judged(table, sample=sample).where("repetitive").collect()} == wanted
+    assert 20 < len(wanted) < 100
+
+
 def test_sentences_and_pieces(spark, texts):
     long = ("A sentence that goes on for a while, as they do. " * 100).strip()
     table = spark.createDataFrame([(1, long), (1, long), (2, "Short. Text."), (3, None), (4, "x" * 4001 + ". End."), (5, "It starts\n" + "and goes on, line by line\n" * 100 + "to an end. Next one."), (None, long)], "pos long, text string")

@@ -76,12 +76,13 @@ def test_bound_sees_more_than_volume():
 
 def test_repetition_statistics_and_rules():
     said = "the cat sat on the mat and went home again " * 4
-    s = dict(zip(repetition.STATISTICS, repetition.statistics(said)))
+    s = dict(zip(repetition.STATISTICS + repetition.SHARES, repetition.statistics(said)))
     assert s["n_words"] == 40 and s["run_repeats"] == pytest.approx(1 - 10 / 36)
-    assert repetition.statistics(None) == repetition.statistics("  ") == [0.0] * len(repetition.STATISTICS)
+    assert repetition.statistics(None) == repetition.statistics("  ") == [0.0] * len(repetition.STATISTICS + repetition.SHARES)
     draw = np.random.default_rng(0)
     x = draw.random((600, len(repetition.STATISTICS)))
     y = (x[:, 4] >= 0.7) & (x[:, 2] < 0.5)
+    assert not set(repetition.SHARES) & set(repetition.STATISTICS)
     rules = repetition.learned(x, y)
     got = np.any([r.holds(x) for r in rules], axis=0)
     assert (got == y).mean() > 0.97 and (got >= y).mean() > 0.99
