@@ -160,9 +160,10 @@ def mixed(docs: DataFrame, mix: DataFrame, entropy: float | None = None, total:
     counts = staged(token_counts(docs, folder), "token_counts")
     targets, whole, written = targets_of(counts, mix)
     total = whole if total is None else total
-    used = uses(counts, targets, budgets(targets, total, exponent_for(targets, total, entropy)))
-    used = staged(used, "uses")
-    rows = [(t.source, written[t.source], t.share, t.most, t.tokens, t.reaches(total)) for t in targets]
+    given = budgets(targets, total, exponent_for(targets, total, entropy))
+    used = staged(uses(counts, targets, given), "uses")
+    # What the mix gives a source falls short of its target; that its tokens can't do more is the check.
+    rows = [(t.source, written[t.source], t.share, t.most, t.tokens, given[t.source] >= t.share * total or t.reaches(total)) for t in targets]
     wanted = docs.sparkSession.createDataFrame(rows, "name string, source string, target_share double, max_repeats long, tokens long, reaches boolean")
     sums = used.groupBy(F.col("source").alias("name")).agg(F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"))
     all_used = sums.agg(F.sum("used_tokens")).first()[0] or 0

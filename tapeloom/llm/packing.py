@@ -49,12 +49,17 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The most that dual feasible functions prove: no packing of ``sizes`` has fewer bins.
+    """The most that dual feasible functions prove: no packing of ``sizes`` has fewer bins."""
+    return bound_of(np.bincount(sizes, minlength=capacity + 1)[: capacity + 1], capacity)
+
+
+def bound_of(counts: np.ndarray, capacity: int) -> int:
+    """The same of how many items there are of each size from 0 to ``capacity``.
 
     Taken over f(x) = x, the threshold functions (sizes over capacity - e count whole, under e not at all) and the
     rounding functions u_k(x), for k up to 20.
     """
-    counts = np.bincount(sizes, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    counts = counts.astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int(counts @ x) // capacity)
     ahead, mass = np.concatenate([np.cumsum(counts), [0]]), np.concatenate([np.cumsum(counts * x), [0]])
@@ -98,13 +103,8 @@ def _again(capacity: int):
     return pack
 
 
-def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``items`` (id BIGINT, size BIGINT) to (id, piece, offset, size, container, place): where each piece of each item lies.
-
-    An item of at most ``capacity`` is one piece and is never split; a larger one is cut into whole containers and a rest.
-    ``offset`` is where the piece begins inside its item; ``container`` counts from 0 without gaps, ``place`` orders the pieces
-    in it. Items with a NULL id are left out; a NULL or negative size counts as 0; an id that comes several times is taken once, with its largest size.
-    """
+def _packed(items: DataFrame, capacity: int) -> DataFrame:
+    """(id, piece, offset, size, part, bin, closed): the pieces with the bin of a part that each is in; ``closed`` parts are certified."""
     schema = "id long, piece long, offset long, size long, part long, bin long, closed boolean"
     one = items.where("id IS NOT NULL").groupBy("id").agg(F.greatest(F.coalesce(F.max("size").cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     count = F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)).cast("long")
@@ -115,6 +115,8 @@ def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = cut.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts))).withColumn("bin", F.lit(0).cast("long")).withColumn("closed", F.lit(False))
     rows = staged(rows.groupBy("part").applyInPandas(_first(capacity), schema), "packed")
     for turn in range(ROUNDS):
+        if parts == 1 or rows.where("NOT closed").isEmpty():
+            break
         filled = F.sum("size").over(Window.partitionBy("part", "bin"))
         marked = rows.withColumn("open", ~F.col("closed") & (filled < capacity))
         pool = F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(max(1, parts // _POOL)))
@@ -124,6 +126,27 @@ def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         step = (turn + 1) << 40
         repacked = repacked.withColumn("bin", F.col("bin") - F.lit(step))
         rows = staged(marked.where("NOT open").drop("open").unionByName(repacked), "packed")
+    return rows
+
+
+def certificates(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(part, pieces, bins, bound, certified): of each part its bins beside the number that dual feasible functions prove any packing of it needs."""
+
+    def held(pdf: pd.DataFrame) -> pd.DataFrame:
+        bins, bound = pdf["bin"].nunique(), max(1, lower_bound(pdf["size"].to_numpy(), capacity))
+        return pd.DataFrame([[int(pdf["part"].iloc[0]), len(pdf), bins, bound, bins == bound]], columns=["part", "pieces", "bins", "bound", "certified"])
+
+    return _packed(items, capacity).select("part", "bin", "size").groupBy("part").applyInPandas(held, "part long, pieces long, bins long, bound long, certified boolean")
+
+
+def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``items`` (id BIGINT, size BIGINT) to (id, piece, offset, size, container, place): where each piece of each item lies.
+
+    An item of at most ``capacity`` is one piece and is never split; a larger one is cut into whole containers and a rest.
+    ``offset`` is where the piece begins inside its item; ``container`` counts from 0 without gaps, ``place`` orders the pieces
+    in it. Items with a NULL id are left out; a NULL or negative size counts as 0; an id that comes several times is taken once, with its largest size.
+    """
+    rows = _packed(items, capacity)
     bins = rows.select("part", "bin").distinct()
     per_part = bins.groupBy("part").agg(F.count("*").alias("n"))
     before = per_part.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
@@ -145,9 +168,22 @@ def samples(df: DataFrame, key: str = "pos", text: str = "text", capacity: int =
     return packed(word_counts(df, key, text), capacity)
 
 
+def volume(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(items, words, volume_bound): what is to be packed, and the containers it needs by volume alone."""
+    one = items.where("id IS NOT NULL").groupBy("id").agg(F.greatest(F.coalesce(F.max("size"), F.lit(0)), F.lit(0)).alias("size"))
+    a = one.agg(F.count("id").alias("items"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("words"))
+    return a.select("items", "words", F.ceil(F.col("words") / capacity).cast("long").alias("volume_bound"))
+
+
 def summary(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(containers, items, words, unused_share, volume_bound): how full the containers are, and the least number by volume."""
-    a = placed.agg(F.max("container").alias("m"), F.countDistinct("id").alias("items"), F.sum("size").cast("long").alias("words"))
-    containers = F.coalesce(F.col("m") + 1, F.lit(0)).cast("long")
-    unused = F.when(containers > 0, 1 - F.col("words") / (containers * capacity))
-    return a.select(containers.alias("containers"), "items", "words", unused.alias("unused_share"), F.ceil(F.col("words") / capacity).cast("long").alias("volume_bound"))
+    """(containers, proven_bound, unused_share): how full the containers are, and the least number that dual feasible functions prove for all pieces together.
+
+    Only how many pieces there are of each size, a row a size, comes to the driver.
+    """
+    placed = staged(placed.select("container", "size"), "placed")
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for r in placed.groupBy("size").count().collect():
+        counts[r["size"]] = r["count"]
+    a = placed.agg((F.coalesce(F.max("container") + 1, F.lit(0))).cast("long").alias("containers"), F.sum("size").alias("words"))
+    unused = F.when(F.col("containers") > 0, 1 - F.col("words") / (F.col("containers") * capacity))
+    return a.select("containers", F.lit(bound_of(counts, capacity)).cast("long").alias("proven_bound"), unused.alias("unused_share"))

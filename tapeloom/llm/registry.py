@@ -28,10 +28,24 @@ def p1_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the samples are."""
+    """How full the samples are, beside the proven least number of them."""
     return packing.summary(packing.samples(_wide(spark, sf_dir, "output_final")))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.word_counts(_wide(spark, sf_dir, "output_final"), "pos", "text")
+
+
+def p1_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be packed: transcripts, words, and the samples they need by volume."""
+    return packing.volume(_sizes(spark, sf_dir))
+
+
+def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each part its samples beside the bound that certifies them."""
+    return packing.certificates(_sizes(spark, sf_dir))
+
+
 def _speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.known_speakers(_wide(spark, sf_dir, "output_final"), _wide(spark, sf_dir, "mp3_file_list"), table(spark, sf_dir, "speakers"))
 
@@ -146,7 +160,7 @@ def p10_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.makeup(_subjects(spark, sf_dir), _wide(spark, sf_dir, "documents"))
 
 
-_QUERIES = (p1_found, p1_samples, p1_fill, p2_found, p2_splits, p3_found, p3_classes, p4_found, p4_shares, p4_rules, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p9_found, p9_uses, p9_shares, p10_found, p10_makeup)
+_QUERIES = (p1_found, p1_samples, p1_fill, p1_volume, p1_bounds, p2_found, p2_splits, p3_found, p3_classes, p4_found, p4_shares, p4_rules, p5_found, p5_counts, p6_found, p6_pieces, p7_found, p7_sentences, p8_found, p8_leaks, p9_found, p9_uses, p9_shares, p10_found, p10_makeup)
 
 
 def queries() -> dict[str, Query]:
@@ -172,6 +186,12 @@ _SPLITS = "c AS (SELECT pos, run, CASE WHEN lower(trim(split)) = 'train' THEN 't
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "SELECT DISTINCT pos FROM output_final WHERE pos IS NOT NULL AND len(regexp_extract_all(text, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+')) > 768",
+        "p1_volume": "WITH s AS (SELECT pos, max(coalesce(len(regexp_extract_all(text, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+')), 0)) AS n FROM output_final WHERE pos IS NOT NULL GROUP BY pos) "
+        "SELECT count(*) AS items, CAST(coalesce(sum(n), 0) AS BIGINT) AS words, CAST(ceil(coalesce(sum(n), 0) / 768) AS BIGINT) AS volume_bound FROM s",
+        # The sources that fall short do so by tokens, words or characters alike.
+        "p9_found": "WITH d AS (SELECT doc_id, lower(trim(source)) AS s, max(coalesce(len(text), 0)) AS n FROM documents WHERE doc_id IS NOT NULL AND trim(source) <> '' GROUP BY 1, 2), "
+        "h AS (SELECT s, sum(n) AS n FROM d GROUP BY s) SELECT m.source FROM mix_targets m LEFT JOIN h ON h.s = lower(trim(m.source)) "
+        "WHERE m.target_share IS NOT NULL AND coalesce(h.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM h)",
         "p3_found": f"WITH {_RUNS}, {_NAMES} "
         "SELECT 'text' AS field, a.pos AS pos_a, b.pos AS pos_b FROM r a JOIN r b ON a.run = b.run AND a.pos < b.pos JOIN n x ON x.pos = a.pos JOIN n y ON y.pos = b.pos GROUP BY a.pos, b.pos, x.n, y.n HAVING count(*) >= 0.5 * (x.n + y.n - count(*)) "
         "UNION ALL SELECT 'path', a.pos, b.pos FROM t3 a JOIN t3 b ON a.piece = b.piece AND a.nums = b.nums AND a.pos < b.pos JOIN n3 x ON x.pos = a.pos JOIN n3 y ON y.pos = b.pos GROUP BY a.pos, b.pos, x.n, y.n HAVING count(*) >= 0.7 * (x.n + y.n - count(*))",
