@@ -3,6 +3,7 @@
 Every cluster of end marks, with the closing quotes after it, is a candidate. Its features are the tokens beside it, their case,
 length, digits and script, and the quotation or parenthesis it stands in. The classifier is a logistic regression trained on
 reliable boundaries: in texts laid out one sentence a line, line ends are boundaries and marks inside a line are none.
+The token before a mark is looked for in 24 characters; one of over six can't be an abbreviation by itself, whatever it is.
 """
 
 from __future__ import annotations
@@ -26,15 +27,19 @@ ABBREVIATIONS = frozenset(
     "mr mrs ms dr prof rev st sr jr sra dra srta vs etc cf vol no nos p pp fig approx ca e.g i.e a.m p.m hr fr nr bd s usw z.b d.h bzw evtl vgl abs "
     "m mme mlle t chap env p.ex c.-à-d pág págs núm aprox ej p.ej ud uds т.е т.д др г гг тыс стр им см डॉ श्री د".split()
 )
+#: What a number with a period before it is a date with, where ordinals are written so. Fixed values.
+MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember marts maj".split())
 #: Texts the classifier is trained on, at most; the rows with the least hash of their key are taken.
 TRAINING_TEXTS = 3000
-_LONGEST_QUOTE = 600
+#: Straight quotes open and close alike; from so many characters on one is taken for unclosed. Paired signs are matched at any distance.
+LONGEST_STRAIGHT = 600
 
 _MARK = re.compile(f"[{re.escape(MARKS)}]+")
 _EVENT = re.compile(f'[{re.escape(MARKS)}]+|["“”„«»「」『』()（）\\[\\]]')
 _TOKEN = re.compile(r'[^\s"“„«(\[「『（¿¡—–]*\Z')
 _LINE = re.compile(r"[^\r\n]+")
 _SPACE = re.compile(r"\s*")
+_WORD = re.compile(r"[^\W\d_]+")
 _SHORT = 6
 
 Features = tuple[str, ...]
@@ -77,7 +82,7 @@ def _quotes(text: str, events: list[tuple[int, int, str]]) -> dict[int, int]:
     for at, _, sign in events:
         if sign[0] in MARKS:
             continue
-        while stack and at - stack[-1][1] > _LONGEST_QUOTE:
+        while stack and stack[-1][0] == '"' and at - stack[-1][1] > LONGEST_STRAIGHT:
             stack.pop()
         match = next((i for i in range(len(stack) - 1, -1, -1) if sign in CLOSING[stack[i][0]]), None)
         if match is not None:
@@ -126,9 +131,15 @@ def candidates(text: str) -> Iterator[tuple[int, int, Features]]:
         before = _TOKEN.search(text, max(0, at - 24), at).group().lower()
         if "." in before and len(before.rpartition(".")[0]) > 3:
             before = before.rpartition(".")[2]
-        token = before if mark == "." and len(before) <= _SHORT else "*"
-        shape = "0" if not before else "9" if before[-1].isdigit() else "1" if len(before) == 1 else "i" if "." in before else "w"
-        yield at, start, (mark, token, shape, kind + gap, where, case, "a" if before in ABBREVIATIONS else "-")
+        known = "a" if before in ABBREVIATIONS else "-"
+        if mark == "." and before.isdecimal() and len(before) <= 2:
+            token, shape = "#", "9"
+            if (word := _WORD.match(text, start)) and word.group().lower() in MONTHS:
+                known = "o"
+        else:
+            token = before if mark == "." and len(before) <= _SHORT else "*"
+            shape = "0" if not before else "9" if before[-1].isdigit() else "1" if len(before) == 1 else "i" if "." in before else "w"
+        yield at, start, (mark, token, shape, kind + gap, where, case, known)
 
 
 def _facets(f: Features) -> tuple[str, ...]:
@@ -196,6 +207,9 @@ class Model:
         return known
 
 
+#: What a general belief weighs beside the list's: in all as much as a candidate that the texts show some thirty times.
+GENERAL = 2.0
+
 #: What is believed before any text is seen, as labelled candidates. Fixed values.
 _BELIEFS = [
     ((mark, token, "w", kind, where, case, "-"), where != "in" and kind[-1] in ("u", "o", "e", "x"))
@@ -209,7 +223,8 @@ _BELIEFS = [
     *(((mark, "*", "w", kind, f"in{b}{then}", "m", "-"), False) for mark in (".", "?", "。", "？", "...") for kind in ("u", "o") for b in "qb" for then in ("l", "o", "p", "hl")),
     *(((mark, "*", "w", kind, f"inq{then}", "m", "-"), True) for mark in (".", "?", "。") for kind in ("u", "o") for then in ("u", "e", "qu")),
     *(((mark, "*", "w", f"o{gap}", "shut", "m", "-"), gap == "1") for mark in ("?", "？", "。", ".", "...") for gap in "01"),
-    *(((".", token, "9", kind, "out", "m", "-"), kind == "u") for token in ("*", "~") for kind in ("u", "l1", "d0")),
+    *(((".", token, "9", kind, "out", "m", "-"), kind == "u") for token in ("*", "~", "#") for kind in ("u", "l1", "d0")),
+    *(((".", "#", "9", kind, where, case, "o"), False) for kind in ("u", "l1") for where in ("out", "shut") for case in "mul"),
     *(((".", a, "i" if "." in a else "1" if len(a) == 1 else "w", kind, "out", case, "a"), False) for a in sorted(ABBREVIATIONS) for kind in ("u", "l1", "d1", "o") for case in "mu"),
     *(((".", a, "i" if "." in a else "1" if len(a) == 1 else "w", kind, f"inb{then}", "m", "a"), False) for a in sorted(ABBREVIATIONS) for kind in ("l1", "d1") for then in ("l", "p", "x", "u", "e")),
     *(((".", "*", "1", kind, "out", "m", "-"), False) for kind in ("u", "l1", "d1")),
@@ -229,7 +244,7 @@ def trained(texts: list[str]) -> Model:
     names = {x: i for i, x in enumerate(sorted({x for f, _ in rows for x in _facets(f)}))}
     at = np.array([[names[x] for x in _facets(f)] for f, _ in rows])
     y, n = np.array([1.0 if ends else 0.0 for _, ends in rows]), np.log1p(np.array([counts[r] for r in rows], dtype=float))
-    n += np.array([20.0 if r in general else 0.0 for r in rows])
+    n += np.array([GENERAL if r in general else 0.0 for r in rows])
     w, moved = np.zeros(len(names)), np.full(len(names), 1e-8)
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(w[at].sum(axis=1), -30, 30)))
@@ -252,9 +267,8 @@ def spans(text: str | None, model: Model) -> list[tuple[int, int]]:
 
 def fitted(df: DataFrame, key: str, text: str) -> Model:
     """A model for the texts of ``df``, from at most TRAINING_TEXTS of them: those with the least hash of their key."""
-    ids = [r.id for r in bounded_sample(df.select(F.col(key).alias("id")).where("id IS NOT NULL"), "id", TRAINING_TEXTS)]
-    chosen = df.where(F.col(key).isin(ids) & F.length(text).between(100, 20000)) if ids else df.limit(0)
-    return trained(sorted({r[0] for r in chosen.select(text).collect()}))
+    kept = F.when(F.length(text).between(100, 20000), F.col(text)).alias("text")
+    return trained(sorted({r.text for r in bounded_sample(df.select(F.col(key).alias("id"), kept).where("id IS NOT NULL"), "id", TRAINING_TEXTS) if r.text}))
 
 
 def sentences(df: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:

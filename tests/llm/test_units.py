@@ -116,6 +116,8 @@ def cut(text):
         ["Pourquoi les montagnes ?", "« Les forêts comprennent ! » crient les potiers.", "Oui."],
         ["—¿Adónde van las montañas? —preguntan las piedras.", "Sin agua no hay vida."],
         ["«Куда идём?» — спросили все.", "Мы молчим, т. е. ждём."],
+        ["Am 20. Mai tragen die Steine ihre Lampen.", "Es sind 20.", "Am 3. Oktober nicht."],
+        ["She read “" + "It was late. I went home. " * 30 + "It ended.” and left.", "So it was."],
     ],
 )
 def test_sentences(parts):
@@ -123,6 +125,14 @@ def test_sentences(parts):
     assert cut("\r\n".join(parts)) == parts
 
 
+def test_training_outweighs_beliefs():
+    """Texts that break sentences before lower case, in a layout that shows it, teach the model to do so."""
+    texts = ["\n".join(f"the {a} stayed {i}x here.\nthen the {a} left us.\nThe End was near." for a in ("bell", "river")) for i in range(400)]
+    assert MODEL.ends(next(f for _, _, f in sentences.candidates("The bell stayed here. then it left."))) is False
+    taught = sentences.trained(texts)
+    assert [text[a:b] for text in ["The bell stayed here. then it left."] for a, b in sentences.spans(text, taught)] == ["The bell stayed here.", "then it left."]
+
+
 def test_sentences_without_spaces_or_marks():
     assert cut("他问：“花园也寻找问题吗？”然后测量钟声。安静的桥梁明白花园。") == ["他问：“花园也寻找问题吗？”然后测量钟声。", "安静的桥梁明白花园。"]
     assert cut("「道を忘れる。窓も描く。」と鐘が言った。古い鳥が鳴く！") == ["「道を忘れる。窓も描く。」と鐘が言った。", "古い鳥が鳴く！"]
