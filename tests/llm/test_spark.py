@@ -248,6 +248,16 @@ def test_speakers(spark):
     assert got == {1: [3], 2: [5], 3: []}
 
 
+def test_announcements_are_learned(spark):
+    speakers = [(i, f"{first} {last}", None) for i, (first, last) in enumerate((a, b) for a in ("Mirka", "Faro", "Jorun") for b in ("Kessborn", "Quelleck", "Zandwick"))]
+    said = [(i, f"Welcome to the programme with {speakers[i % 9][1]}, as ever. {talk(i, 9)}") for i in range(60)]
+    said += [(100 + i, f"As {speakers[(i * 5 + 1) % 9][1]} used to say, {talk(i, 9)}") for i in range(60)]
+    paths = [(p, f"a/b/{speakers[p % 9][1]}/{p}.mp3") for p, _ in said if p % 2]
+    made = splits.known_speakers(spark.createDataFrame(said, "pos long, text string"), spark.createDataFrame(paths, "pos long, mp3_file_list string"), spark.createDataFrame(speakers, "speaker_id long, name string, shelf_code string"))
+    got = {r.id: r.entities for r in made.collect()}
+    assert all(got[p] == [p % 9] for p, _ in said if p < 100 or p % 2) and all(got[p] == [] for p, _ in said if p >= 100 and p % 2 == 0)
+
+
 def test_empty_tables(spark, none):
     members, links = near.similar(none, "pos", "text", near.text_features, 0.5, 2)
     items = none.select(F.col("pos").alias("item_id"), "text")

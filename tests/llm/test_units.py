@@ -255,3 +255,13 @@ def test_paths_name_speakers(path, who):
 )
 def test_announcements(text, who):
     assert ROSTER.announced(text) == who
+
+
+def test_names_of_any_parts_and_script():
+    roster = Roster([(1, "Anna Maria Keller", None), (2, "Иван Петров", None), (3, "Plato", None), (4, "Anna Weiss", "QQX"), (5, "नील शर्मा", None), (6, "", None)])
+    for who, folders in {1: ("Anna Maria Keller", "Keller, Anna Maria", "anna_keller", "A. M. Keller", "AnnaMariaKeller", "Dr. Anna Maria Kellr"), 2: ("Иван Петров", "петров-иван"), 3: ("Plato", "PLATO"), 5: ("नील शर्मा",)}.items():
+        for folder in folders:
+            assert roster.of_path(f"a/box/{folder}/1.mp3") == {who}, folder
+    assert roster.of_path("a/box/Plato and Anna Weiss/1.mp3") == {3, 4} and roster.of_path("a/box/Platon/1.mp3") == set()
+    assert roster.announced("This is Anna Maria Keller speaking. x") == 1 and roster.announced("This is Plato speaking. x") == 3
+    assert roster.announced("A bell rang in the hall. Tonight Anna Weiss takes up the series again.") == 4
