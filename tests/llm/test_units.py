@@ -207,7 +207,16 @@ def test_subjects_touched():
     assert subjects.touched("the skillet and the dough are here", matcher)["cooking"][1] == 1
     assert subjects.touched(None, matcher) == subjects.touched("", matcher) == subjects.touched("skillets", matcher) == {}
     assert subjects.calibrated([]) == 0.0
-    assert subjects.calibrated([(float(i), i >= 60) for i in range(100)]) == 60.0
+    assert subjects.calibrated([(float(i), i >= 60) for i in range(1000)]) == pytest.approx(60.0, abs=12)
+    at = subjects.thresholds([("law", float(i), i >= 600) for i in range(1000)] + [("sport", 1.0, True)], ["law", "sport", "music"])
+    assert 580 < at["law"] <= 600 and at["sport"] == at["music"]
+
+
+def test_terms_are_words_or_beginnings():
+    matcher = subjects.automaton({"hypothek*": {"finance": 2.0}, "jury": {"law": 1.0}})
+    assert subjects.touched("Die Hypotheken steigen. Eine Hypothek ruht.", matcher)["finance"][1:] == (2, 2)
+    assert "law" not in subjects.touched("Injury and jurys.", matcher)
+    assert set(subjects.curated(["law", "Marine Biology"])["marine*"]) == {"Marine Biology"}
 
 
 ROSTER = Roster([(3, "Mirka Kessborn", "BJX"), (5, "Jarek Marlish", "BNX"), (7, "Jarek Marlisah", "CJT"), (9, "Faro Quelleck", None)])
