@@ -1,13 +1,17 @@
 """Problem 6: cutting long texts at natural boundaries, by packing a structure tree.
 
-A text is a tree: sections (from headings on), blocks (between blank lines), items (lines), sentences, words,
-characters. Sibling subtrees are merged bottom-up while they fit the room of a piece; only a node that doesn't fit is descended into.
+A text is parsed into a tree: sections by the depth of their headings, blocks between blank lines, list items by their indentation, fenced blocks
+as they are. Below these come lines, sentences, wrapped lines, words and characters. Sibling subtrees are merged bottom-up while they fit the room of a
+piece; only a node that doesn't fit is descended into, so no cut parts a subtree that fits. What is left of a
+node that was descended into isn't merged with the node's siblings; only a heading goes with the beginning of what follows it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,52 +23,162 @@ LIMIT, OVERLAP = 2000, 200
 
 Span = tuple[int, int]
 
-_HEADING = re.compile(r"^(?:#{1,6}\s+\S.*|[^\n]+\r?\n(?:={3,}|-{3,})[ \t]*)$", re.MULTILINE)
-_BLANK = re.compile(r"(?:\r?\n|\r)[ \t]*(?:\r?\n|\r)\s*")
+_LINES = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
+_HEADING = re.compile(r"\s{0,3}(?:(#{1,6})(?:\s|$)|<h([1-6])\b)", re.IGNORECASE)
+_UNDERLINE = re.compile(r"\s{0,3}(=|-)\1{2,}\s*$")
+_ITEM = re.compile(r"([ \t]*)(?:[-*+•]|\d{1,3}[.)])[ \t]+\S")
+_FENCE = re.compile(r"\s{0,3}(```|~~~)")
 _LINE_END = re.compile(r"\r\n|\n|\r")
 _SPACE = re.compile(r"\s+")
 
-#: The levels of the tree by what may be cut there, coarse to fine.
-LEVELS = ("section", "block", "line", "sentence", "word", "character")
+#: What is below sections, blocks and items, coarse to fine: what may be cut there.
+FINE = ("line", "sentence", "wrapped line", "word", "character")
+
+
+@dataclass
+class Node:
+    """A subtree: the stretch of the text that it covers, white space after it included."""
+
+    start: int
+    end: int
+    level: str
+    children: list[Node] = field(default_factory=list)
+    depth: int = 0
+    heading: bool = False
+
+
+def _blocks(text: str) -> list[Node]:
+    """The blocks of a text in order: headings with their depth, fenced blocks, lists with their items below them, paragraphs."""
+    found: list[Node] = []
+    lines = [(m.start(), m.end(), m.group()) for m in _LINES.finditer(text) if m.end() > m.start()]
+    fence, blank, alone = "", True, False  # alone: the last block is a paragraph of one line so far
+    for start, end, line in lines:
+        if fence:
+            found[-1].end = end
+            fence = "" if line.strip().startswith(fence) else fence
+            blank = not fence
+            continue
+        if not line.strip():
+            if found:
+                found[-1].end = end
+            blank, alone = True, False
+            continue
+        head, under, item, opened = _HEADING.match(line), _UNDERLINE.match(line), _ITEM.match(line), _FENCE.match(line)
+        if head:
+            found.append(Node(start, end, "block", depth=len(head[1] or "") or int(head[2]), heading=True))
+            blank, alone = True, False
+        elif under and alone:
+            found[-1].end, found[-1].heading, found[-1].depth = end, True, 1 if under[1] == "=" else 2
+            blank, alone = True, False
+        elif opened:
+            found.append(Node(start, end, "block"))
+            fence, alone = opened[1], False
+        elif item and found and found[-1].children and (not blank or item[1]):
+            found[-1].children.append(Node(start, end, "item", depth=len(item[1].expandtabs(4))))
+            found[-1].end, blank = end, False
+        elif item and blank:
+            found.append(Node(start, end, "block", [Node(start, end, "item", depth=len(item[1].expandtabs(4)))]))
+            blank, alone = False, False
+        elif blank and not (found and found[-1].children and line[0] in " \t"):
+            found.append(Node(start, end, "block"))
+            blank, alone = False, True
+        else:
+            found[-1].end, blank, alone = end, False, False
+    for block in found:
+        if block.children:
+            block.children = _nested(block.children, block.end)
+    return found
 
 
-def _cut(a: int, b: int, at: list[int]) -> list[Span]:
+def _nested(items: list[Node], end: int) -> list[Node]:
+    """List items in order to trees of them: an item holds what stands before the next item that isn't indented more."""
+    top: list[Node] = []
+    open_: list[Node] = []
+    for item in items:
+        while open_ and open_[-1].depth >= item.depth:
+            open_.pop().end = item.start
+        if open_:
+            above = open_[-1]
+            if not above.children:  # its own lines
+                above.children.append(Node(above.start, item.start, FINE[0]))
+            above.children.append(item)
+        else:
+            top.append(item)
+        open_.append(item)
+    for item in open_:
+        item.end = end
+    return top
+
+
+def parsed(text: str) -> Node:
+    """The tree of a text: the root's children are its blocks and sections; a section is its heading, its blocks and the sections of deeper headings."""
+    root = Node(0, len(text), "text")
+    open_ = [root]
+    for block in _blocks(text):
+        if block.heading:
+            while len(open_) > 1 and open_[-1].depth >= block.depth:
+                open_.pop().end = block.start
+            section = Node(block.start, len(text), "section", [block], depth=block.depth)
+            open_[-1].children.append(section)
+            open_.append(section)
+        else:
+            open_[-1].children.append(block)
+    first = root.children[0] if root.children else None
+    while first:  # blank lines before the first block belong to it
+        first.start, first = 0, first.children[0] if first.children else None
+    return root
+
+
+def _cut(a: int, b: int, at: list[int], level: str) -> list[Node]:
     """The parts of [a, b) between the given places."""
     places = [a, *(x for x in at if a < x < b), b]
-    return list(zip(places, places[1:]))
-
-
-def _children(text: str, a: int, b: int, level: int, ends: list[int], room: int) -> list[Span]:
-    """The subtrees of [a, b) at a level; white space belongs to the part before it."""
-    if level == 0:
-        return _cut(a, b, [m.start() for m in _HEADING.finditer(text, a, b)])
-    if level == 1:
-        return _cut(a, b, [m.end() for m in _BLANK.finditer(text, a, b)])
-    if level == 2:
-        return _cut(a, b, [m.end() for m in _LINE_END.finditer(text, a, b)])
-    if level == 3:
-        return _cut(a, b, ends)
-    if level == 4:
-        return _cut(a, b, [m.end() for m in _SPACE.finditer(text, a, b)])
-    return _cut(a, b, list(range(a + room, b, room)))
-
-
-def _packed(text: str, a: int, b: int, level: int, sentences: list[Span], starts: list[int], room: int, whole: int) -> list[tuple[int, int, int]]:
-    """Parts (start, end, level of the cut at their start) of [a, b) that fit ``room``; a lone sentence may take ``whole``."""
-    if b - a <= room:
-        return [(a, b, level)]
-    if level == 4 and b - a <= whole:
-        return [(a, b, level)]
-    parts: list[tuple[int, int, int]] = []
-    for x, y in _children(text, a, b, level, starts, room):
-        below = _packed(text, x, y, level + 1, sentences, starts, room, whole)
-        first = below[0]
-        for s, e, at in [(first[0], first[1], level), *below[1:]]:
-            if parts and e - parts[-1][0] <= room:
-                parts[-1] = (parts[-1][0], e, parts[-1][2])
+    return [Node(x, y, level) for x, y in zip(places, places[1:])]
+
+
+@dataclass
+class _Text:
+    """A text with the places where its sentences begin, and those of them that begin a line."""
+
+    text: str
+    sentences: list[int]
+    lines: list[int]
+    room: int
+    whole: int
+
+    def below(self, node: Node) -> list[Node]:
+        """The children of a node; below sections, blocks and items by the next of FINE. White space belongs to the part before it."""
+        if node.children:
+            return node.children
+        a, b = node.start, node.end
+        level = FINE[FINE.index(node.level) + 1] if node.level in FINE else FINE[0]
+        if level in FINE[:2]:
+            places = self.lines if level == "line" else self.sentences
+            return _cut(a, b, places[bisect_right(places, a) : bisect_left(places, b)], level)
+        if level == "wrapped line":
+            return _cut(a, b, [m.end() for m in _LINE_END.finditer(self.text, a, b)], level)
+        if level == "word":
+            return _cut(a, b, [m.end() for m in _SPACE.finditer(self.text, a, b)], level)
+        return _cut(a, b, list(range(a + self.room, b, self.room)), level)
+
+    def packed(self, node: Node) -> list[list]:
+        """Parts [start, end, level of the cut at their start, whether whole siblings, whether a heading alone] of a node that doesn't fit the room.
+
+        A sentence that fits ``whole`` is a part of its own.
+        """
+        parts: list[list] = []
+        for child in self.below(node):
+            fits = child.end - child.start <= self.room
+            if fits or (child.level == "sentence" and child.end - child.start <= self.whole):
+                below = [[child.start, child.end, child.level, fits, fits and child.heading]]
             else:
-                parts.append((s, e, at))
-    return parts
+                below = self.packed(child)
+            for n, (a, b, level, _, _) in enumerate(below):
+                last = parts[-1] if parts else None
+                if last and b - last[0] <= self.room and ((fits and last[3]) or (n == 0 and last[4])):
+                    last[1], last[3], last[4] = b, fits, False
+                else:
+                    parts.append([a, b, child.level if n == 0 else level, fits, fits and child.heading])
+        return parts
 
 
 def cut(text: str, sentences: list[Span], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
@@ -75,13 +189,12 @@ def cut(text: str, sentences: list[Span], limit: int = LIMIT, overlap: int = OVE
     """
     if len(text) <= limit:
         return [(0, len(text), 0, "none")]
-    room = limit - overlap
-    starts = [a for a, _ in sentences]
-    parts = _packed(text, 0, len(text), 0, sentences, starts, room, limit)
+    lines = [b for (_, end), (b, _) in zip(sentences, sentences[1:]) if _LINE_END.search(text, end, b)]
+    parts = _Text(text, [a for a, _ in sentences], lines, limit - overlap, limit).packed(parsed(text))
     found = []
-    for i, (a, b, level) in enumerate(parts):
+    for i, (a, b, level, _, _) in enumerate(parts):
         begin = max(0, a - min(overlap, limit - (b - a))) if i else a
-        found.append((begin, b, a, LEVELS[level] if i else "none"))
+        found.append((begin, b, a, level if i else "none"))
     return found
 
 

@@ -161,6 +161,79 @@ def test_pieces_hold_limit_overlap_and_text(lengths, gap):
     assert "".join(text[new:end] for _, end, new, _ in found) == text
 
 
+MARKED = """# One
+
+A paragraph of one line.
+And another line.
+
+## One point one
+
+- first item
+  goes on
+    - below it
+    - below it too
+- second item
+
+```
+code
+
+# no heading
+```
+
+### Deep
+
+1. a
+2. b
+
+Two
+===
+
+Text. <b>More</b> text.
+---
+
+Last part.
+"""
+
+
+def test_texts_are_parsed_into_trees():
+    root = pieces.parsed(MARKED)
+    assert [MARKED[c.start : c.end].split("\n")[0] for c in root.children] == ["# One", "Two"]
+    one = root.children[0]
+    assert [c.level for c in one.children] == ["block", "block", "section"] and one.children[0].heading
+    point = one.children[2]
+    assert [MARKED[c.start : c.start + 5] for c in point.children] == ["## On", "- fir", "```\nc", "### D"]
+    items = point.children[1].children
+    assert [MARKED[c.start : c.start + 7] for c in items] == ["- first", "- secon"] and [c.level for c in items[0].children] == ["line", "item", "item"]
+    assert len(root.children[1].children) == 2 and root.children[1].children[1].level == "section"
+
+    def covered(node):
+        if node.children:
+            assert node.children[0].start == node.start and node.children[-1].end == node.end
+            assert all(a.end == b.start for a, b in zip(node.children, node.children[1:]))
+        for c in node.children:
+            covered(c)
+
+    covered(root)
+    for odd in ("", "\n\n", "#", "- a\n\n  b\n- c", "```\nnever closed\n\n# x", "x\n---\n---\n", "\r\n\r\n# a\r\n\r\nb"):
+        covered(pieces.parsed(odd))
+
+
+@given(st.lists(st.tuples(st.sampled_from(["# ", "## ", "### ", "", "", "- ", "    - ", "\n"]), st.integers(1, 160)), min_size=5, max_size=40))
+@settings(max_examples=80, deadline=None)
+def test_no_cut_parts_a_subtree_that_fits(lines):
+    text = "".join(f"{mark}A{'b ' * (n // 2)}c.\n" for mark, n in lines)
+    found = pieces.cut(text, sentences.spans(text, MODEL), 300, 40)
+    assert all(b - a <= 300 for a, b, _, _ in found) and "".join(text[new:end] for _, end, new, _ in found) == text
+    cuts = [new for _, _, new, _ in found[1:]]
+
+    def whole(node):
+        assert node.end - node.start > 260 or not any(node.start < c < node.end for c in cuts)
+        for c in node.children:
+            whole(c)
+
+    whole(pieces.parsed(text))
+
+
 def test_pieces_of_one_long_word():
     found = pieces.cut("x" * 5000, [(0, 5000)], 2000, 200)
     assert [p[3] for p in found] == ["none", "character", "character"] and all(b - a <= 2000 for a, b, _, _ in found)
