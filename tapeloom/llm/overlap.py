@@ -36,6 +36,8 @@ LEAST_CHUNK = 3
 _BITS = 40
 #: One run for so many that are needed is looked up beside, and needed of those looked up: fewer pairs by chance, none fewer of the true.
 _MORE = 4
+#: Runs in a bucket, about: some 200 MB at work.
+BUCKET_RUNS = 4_000_000
 #: Training records in a row of those that hold a run.
 _HOLDERS = 4096
 
@@ -70,8 +72,8 @@ def _digest(tokens: list[str]) -> int:
 
 
 def _named(ids: list[int], evals: list[bool], texts: list[str]) -> list[list]:
-    found = [(i, e, _digest(t)) for i, e, text in zip(ids, evals, texts) if len(t := words(text)) >= LEAST_WORDS]
-    return [list(c) for c in zip(*found)] or [[], [], []]
+    found = [(i, e, _digest(t), len(t)) for i, e, text in zip(ids, evals, texts) if len(t := words(text)) >= LEAST_WORDS]
+    return [list(c) for c in zip(*found)] or [[], [], [], []]
 
 
 def _packed(buckets: int) -> Callable[..., list[list]]:
@@ -159,13 +161,14 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
     """
     rows = df.select(F.col(key).cast("long").alias("id"), split_name(split).alias("split"), F.col(text).alias("text"))
     rows = rows.where("id IS NOT NULL AND text IS NOT NULL AND split IN ('train', 'validation', 'test')").select("id", (F.col("split") != "train").alias("eval"), "text")
-    members = staged(batched(rows, "id long, eval boolean, same long", _named), "records")
+    members = staged(batched(rows, "id long, eval boolean, same long, n_words int", _named), "records")
     # Records of the same words on the same side are looked up once, by the least key among them.
-    side = members.distinct()
+    side = members.select("id", "eval", "same").distinct()
     rep = side.groupBy("eval", "same").agg(F.min("id").alias("rep"))
     members = side.join(rep, ["eval", "same"]).select("id", "eval", "rep")
-    # Buckets grow in number with the data, as the session's tasks do.
-    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Buckets grow in number with the data, so that one task holds some BUCKET_RUNS runs at most.
+    runs = members.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs // BUCKET_RUNS))
     packed = batched(rows.select("eval", "text"), "bucket int, eval boolean, owners array<long>, sizes array<int>, runs binary", _packed(buckets))
     met = staged(packed.groupBy("bucket").applyInArrow(_met, "owner long, run long, n int, found array<long>, held_by array<int>"), "met")
 
