@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_STAGED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,9 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of what was written: same rows, short lineage, prunable columns."""
+    """Write ``df`` once and return a scan of what was written: same rows, short lineage, prunable columns.
+
+    The table is removed when the driver ends, or by ``release`` once nothing that was made of it is needed any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all tables that this application has staged, and say how many. DataFrames made of them can't be run afterwards."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where, system = _file_system(spark, path)
+        system.delete(where, True)
+    return len(paths)

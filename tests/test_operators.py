@@ -216,3 +216,11 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("arrived").count() == 2
+
+
+def test_staged_tables_can_be_released(spark):
+    from tapeloom.plans import stage
+
+    stage.release(spark)
+    df = stage.staged(spark.range(5), "x")
+    assert df.count() == 5 and stage.release(spark) == 1 and stage.release(spark) == 0
