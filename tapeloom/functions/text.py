@@ -99,6 +99,16 @@ def seconds(said: str) -> Column:
     return F.expr(f"coalesce({part(1)}, 0) * 86400 + {part(2)} * 3600 + {part(3)} * 60 + {part(4)}")
 
 
+def decimals(x: str | Column, n: int) -> Column:
+    """A number with ``n`` decimals and no separators."""
+    return F.format_string(f"%.{n}f", F.col(x) if isinstance(x, str) else x)
+
+
+def stamped(at: str | Column) -> Column:
+    """A time as part of a name: month, day and year, ``T``, hours, minutes and seconds, with hyphens."""
+    return F.date_format(at, "MM-dd-yyyy'T'HH-mm-ss")
+
+
 def grouped_number(n: str | Column, width: int = 5) -> Column:
     """A whole number with thousands separators, padded on the left to ``width``, never cut."""
     said = F.format_number(n, 0)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,8 @@ from tapeloom.plans.stage import staged
 DIFF_LINES = 10
 #: A difference under DIFF_LINES changes at most so many lines.
 CHANGED = 6
+#: What a repetition of a line adds to its hash.
+_REPEATED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def copies(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -40,7 +44,8 @@ def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
 
 def _listed(df: DataFrame, key: str) -> DataFrame:
     """One row (id, lines, n, text) for each distinct text: the least key that has it."""
-    first = df.where(F.col(key).isNotNull() & F.col("text").isNotNull()).groupBy("text").agg(F.min(key).alias("id"))
+    rows = df.where(F.col(key).isNotNull() & F.col("text").isNotNull())
+    first = rows.groupBy(F.md5("text").alias("d"), F.length("text").alias("c")).agg(F.min(key).alias("id"), F.first("text").alias("text"))
     listed = X.shown_lines("text")
     return first.select("id", listed.alias("lines"), F.size(listed).cast("long").alias("n"))
 
@@ -58,15 +63,33 @@ def short_links(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return texts.join(F.broadcast(per), "n").select("id", F.col("n").alias("n_lines"), (F.col("links") - own).alias("links"))
 
 
+def _marked(texts: DataFrame) -> DataFrame:
+    """(id, n, marks): a number for each line of a text, another one for each of its repetitions. No line leaves its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            h, owner, i = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n), np.arange(int(n.sum()))
+            order = np.lexsort((h, owner))
+            h = h[order]
+            # Equal lines of a text stand together now; a repetition is the distance from the first of them.
+            first = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+            nth = i - np.maximum.accumulate(np.where(first, i, 0)) if len(h) else i
+            marks = pa.array((h.view(np.uint64) + nth.astype(np.uint64) * _REPEATED).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), marks)], names=["id", "n", "marks"])
+
+    rows = texts.select(F.col("id").cast("long").alias("id"), "n", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+    return rows.mapInArrow(run, "id long, n long, marks array<long>")
+
+
 def _candidates(texts: DataFrame) -> DataFrame:
     """(a, b), a < b: distinct texts of over 6 lines together that may differ in at most 6 lines.
 
     Each text misses at most 6 of the other's lines, so of its 7 rarest lines (each repetition a line of its own) the other has
     one; both have it among their own 7 rarest. No other lines are joined on.
     """
-    flat = texts.select("id", "n", F.posexplode("lines").alias("at", "line"))
-    nth = F.row_number().over(Window.partitionBy("id", "line").orderBy("at"))
-    marked = flat.select("id", "n", F.xxhash64("line", nth.alias("nth")).alias("mark"))
+    marked = _marked(texts).select("id", "n", F.explode("marks").alias("mark"))
     often = marked.groupBy("mark").agg(F.count("*").alias("f")).where("f > 1")
     shared = staged(marked.join(often, "mark", "left").withColumn("f", F.coalesce("f", F.lit(1))), "marks")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "mark"))

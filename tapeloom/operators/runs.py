@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeloom.functions import vectors as V
+
 PATIENCE = 10
 
 
@@ -41,12 +43,24 @@ def best_trial(df: DataFrame) -> DataFrame:
     return df.where("val_loss IS NOT NULL AND NOT isnan(val_loss)").agg(row).where("b IS NOT NULL").select("b.trial_id", "b.learning_rate", "b.batch_size", "b.val_loss")
 
 
+def resume_points(log: DataFrame) -> DataFrame:
+    """(run_id, last_epoch, next_epoch, best_loss) of ``run_log`` rows: an epoch is done once its validation loss is known; a run without any starts at 0."""
+    done = F.max(F.when(F.col("valid_loss").isNotNull(), F.col("epoch")))
+    return log.groupBy("run_id").agg(done.alias("last_epoch"), F.coalesce(done + 1, F.lit(0)).alias("next_epoch"), F.min("valid_loss").alias("best_loss"))
+
+
+def answers(df: DataFrame, key: str, logits: str, said: dict[int, str], default: str) -> DataFrame:
+    """(key, answer): what ``said`` holds for the first greatest of each vector of logits, else the default; the default, too, for NULL and empty vectors."""
+    return df.select(key, V.argmax(logits).alias("class")).select(key, V.looked_up("class", said, default).alias("answer"))
+
+
 def decoding_cut(df: DataFrame, key: str, vector: str, k: int = 50, p: float = 0.95, temperature: float = 1.0) -> DataFrame:
     """(key, token, prob): of each vector of logits the ``k`` largest, then the fewest of these whose probability reaches ``p``."""
-    flat = df.select(key, F.posexplode(vector).alias("token", "logit")).withColumn("logit", F.col("logit").cast("double") / temperature)
-    order = Window.partitionBy(key).orderBy(F.desc("logit"), "token")
-    top = flat.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    whole = Window.partitionBy(key)
-    top = top.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(whole))).withColumn("prob", F.col("e") / F.sum("e").over(whole))
-    before = F.coalesce(F.sum("prob").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return top.withColumn("before", before).where(F.col("before") < p).select(key, F.col("token").cast("long").alias("token"), "prob")
+    # All inside the row: the vector is sorted, cut and summed as an array, and only what is kept leaves it.
+    pairs = F.transform(vector, lambda x, i: F.struct((-(x.cast("double") / temperature)).alias("down"), i.cast("long").alias("token")))
+    top = df.select(key, F.slice(F.array_sort(pairs), 1, k).alias("top"))
+    risen = F.transform("top", lambda x: F.exp(F.col("top")[0]["down"] - x["down"]))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    top = top.withColumn("e", risen).withColumn("whole", add("e"))
+    kept = F.transform("top", lambda x, i: F.struct(x["token"].alias("token"), (F.col("e")[i] / F.col("whole")).alias("prob"), (add(F.slice("e", 1, i)) / F.col("whole")).alias("before")))
+    return top.select(key, F.explode(kept).alias("x")).where(F.col("x.before") < p).select(key, "x.token", "x.prob")

@@ -2,55 +2,101 @@
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import text as X
 from tapeloom.functions import vectors as V
-from tapeloom.operators import dedup, scan
-from tapeloom.plans.prefix import numbered
+from tapeloom.operators import profile, scan
+from tapeloom.plans import filtering
+from tapeloom.plans.prefix import numbered, running_sum
+from tapeloom.plans.stage import staged
 
+#: Ids: padding, unknown words, and the dictionary's words from FIRST_WORD on.
 LENGTH, PAD, UNKNOWN, FIRST_WORD = 768, 0, 1, 2
 IGNORED = -100
 
 
-#: A map is searched entry by entry, so the dictionary is spread over many small ones by checksum.
-_MAPS = 512
+def _listed(words: DataFrame) -> list[str] | None:
+    """The words (w) in order, if they are few enough to be sent to every task; else None."""
+    return sorted(r.w for r in words.collect()) if filtering.is_small(words) else None
 
 
-def ids(text: str, words: list[str]) -> Column:
-    """The ids of a text's lower-case tokens: a dictionary word's place plus 2, 1 for all others."""
-    spread: list[list[tuple[str, int]]] = [[] for _ in range(_MAPS)]
-    for i, w in enumerate(words):
-        spread[zlib.crc32(w.encode()) % _MAPS].append((w, i + FIRST_WORD))
-    none = F.create_map(F.lit(""), F.lit(UNKNOWN))
-    maps = F.array(*[F.create_map(*[F.lit(x) for pair in some for x in pair]) if some else none for some in spread])
-    place = lambda w: F.try_element_at(F.element_at(maps, (F.pmod(F.crc32(w), F.lit(_MAPS)) + 1).cast("int")), w)
-    return F.transform(X.tokens(F.lower(text)), lambda w: F.coalesce(place(w), F.lit(UNKNOWN)))
+def numbered_words(words: DataFrame) -> DataFrame:
+    """(w, id): each dictionary word's place in order plus FIRST_WORD, whatever the size of the dictionary."""
+    return profile.ranked(words, ["w"], "place").select("w", (F.col("place") + FIRST_WORD).cast("int").alias("id"))
 
 
-def encoded(df: DataFrame, words: list[str], length: int = LENGTH) -> DataFrame:
-    """(pos, input_ids, attention_mask, labels): fixed-length samples; labels have the padding ignored."""
-    made = df.select("pos", ids("text", words).alias("ids"))
+def ids(df: DataFrame, words: DataFrame, length: int | None = None) -> DataFrame:
+    """(pos, ids): the ids of each text's lower-case tokens, of the first ``length`` if that is given: a dictionary word's place plus 2, 1 for all others.
+
+    A small dictionary goes to the texts, so that these aren't shuffled; a large one is joined with the tokens by word, and the tokens are put
+    together again by text. Texts of NULL have no row.
+    """
+    tokens = X.tokens(F.lower("text"))
+    rows = df.where("text IS NOT NULL").select(F.col("pos").cast("long").alias("pos"), F.slice(tokens, 1, length).alias("t") if length else tokens.alias("t"))
+    listed = _listed(words)
+    if listed is None:
+        return _joined_ids(rows, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(listed, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            found = pc.fill_null(pc.add(pc.index_in(lists.flatten().cast(pa.string()), known), FIRST_WORD), UNKNOWN).cast(pa.int32())
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array([0, *lengths.cumsum().tolist()], pa.int32()), found)], names=["pos", "ids"])
+
+    return rows.mapInArrow(run, "pos long, ids array<int>")
+
+
+def _joined_ids(rows: DataFrame, words: DataFrame) -> DataFrame:
+    # A key with several texts keeps them apart by their tokens' digest; copies of a row are one.
+    keyed = rows.withColumn("same", F.md5(F.array_join("t", " "))).dropDuplicates(["pos", "same"])
+    flat = keyed.select("pos", "same", F.posexplode_outer("t").alias("place", "w"))
+    found = flat.join(numbered_words(words).hint("merge"), "w", "left").select("pos", "same", F.struct("place", F.coalesce("id", F.lit(UNKNOWN)).alias("id")).alias("x"))
+    put = found.groupBy("pos", "same").agg(F.array_sort(F.collect_list(F.when(F.col("x.place").isNotNull(), F.col("x")))).alias("s"))
+    return put.select("pos", F.transform("s", lambda x: x["id"]).alias("ids"))
+
+
+def encoded(df: DataFrame, words: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(pos, input_ids, attention_mask, labels, padded_labels): fixed-length samples.
+
+    ``labels`` have the padding ignored; ``padded_labels`` are the ids as they are, padding included.
+    """
+    made = ids(df, words, length)
     made = made.select("pos", V.padded(F.col("ids"), length, PAD).alias("input_ids"), V.attention(F.col("ids"), length).alias("attention_mask"))
-    return made.withColumn("labels", V.labels(F.col("input_ids"), PAD, IGNORED))
+    return made.withColumn("labels", V.labels(F.col("input_ids"), PAD, IGNORED)).withColumn("padded_labels", F.col("input_ids"))
 
 
-def decoded(df: DataFrame, words: list[str]) -> DataFrame:
+def decoded(df: DataFrame, words: DataFrame, column: str = "input_ids") -> DataFrame:
     """(pos, text): ids back to words, the padding and unknown ones skipped."""
-    names = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    kept = F.filter("input_ids", lambda i: i >= FIRST_WORD)
-    return df.select("pos", F.array_join(F.transform(kept, lambda i: F.element_at(names, i - FIRST_WORD + 1)), " ").alias("text"))
+    rows = df.select(F.col("pos").cast("long").alias("pos"), F.filter(column, lambda i: i >= FIRST_WORD).alias("i"))
+    listed = _listed(words)
+    if listed is None:
+        keyed = rows.withColumn("same", F.md5(F.array_join(F.col("i").cast("array<string>"), " "))).dropDuplicates(["pos", "same"])
+        flat = keyed.select("pos", "same", F.posexplode_outer("i").alias("place", "id")).join(numbered_words(words).hint("merge"), "id", "left")
+        put = flat.groupBy("pos", "same").agg(F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("place", "w")))).alias("s"))
+        return put.select("pos", F.array_join(F.transform("s", lambda x: x["w"]), " ").alias("text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(listed, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            at = pc.subtract(lists.flatten(), FIRST_WORD)
+            said = names.take(pc.if_else(pc.less(at, len(names)), at, None))
+            ends = pa.array([0, *pc.list_value_length(lists).to_numpy(zero_copy_only=False).cumsum().tolist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join(pa.ListArray.from_arrays(ends, said), " ")], names=["pos", "text"])
 
-def gpt2_encoded(df: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
-    """(pos, n_ids, input_ids, attention_mask): the same with GPT-2's byte pairs and its end of text (50256) for padding."""
-    from collections.abc import Iterator
+    return rows.mapInArrow(run, "pos long, text string")
 
-    import pyarrow as pa
 
+def gpt2_encoded(df: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
+    """(pos, n_ids, input_ids, attention_mask): the same with GPT-2's byte pairs and its end of text (50256) for padding."""
     from tapeloom.sources.tokenizers import gpt2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,12 +110,30 @@ def gpt2_encoded(df: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
     return made.select("pos", F.size("ids").cast("long").alias("n_ids"), V.padded(F.col("ids"), length, end).alias("input_ids"), V.attention(F.col("ids"), length).alias("attention_mask"))
 
 
-def masked(df: DataFrame, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """(pos, n, n_masked): how many tokens a masking of ``share`` hides; which ones depends on key, place and seed alone."""
-    places = F.sequence(F.lit(0), F.size("t") - 1)
-    hidden = F.filter(places, lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("pos"), i), F.lit(10_000)) < int(share * 10_000))
-    rows = df.select("pos", X.tokens("text").alias("t")).where(F.size("t") > 0)
-    return rows.select("pos", F.size("t").cast("long").alias("n"), F.size(hidden).cast("long").alias("n_masked"))
+def _drawn(part: int, *of) -> Column:
+    """A whole number below 2^32 that depends on ``of`` alone, the same in any engine: eight of the digits of an MD5 digest, from digit 8 x ``part`` on."""
+    digest = F.md5(F.concat_ws("|", *(F.lit(x).cast("string") if isinstance(x, int) else x.cast("string") for x in of)))
+    return F.conv(F.substring(digest, 8 * part + 1, 8), 16, 10).cast("long")
+
+
+def masked(df: DataFrame, words: DataFrame, share: float = 0.15, seed: int = 42) -> DataFrame:
+    """(pos, input_ids, labels): samples for masked training. Of all places ``share`` are hidden; which ones depends on key, place and seed alone.
+
+    Of the hidden ids eight in ten become the mask (the first id after the dictionary's), one any word's id, and one stays; ``labels`` are the ids of hidden places,
+    IGNORED elsewhere. Texts without tokens have no row.
+    """
+    n = words.count()
+    mask = FIRST_WORD + n
+
+    def place(x, i):
+        drawn = lambda part: _drawn(part, seed, F.col("pos"), i)
+        hidden, kind = drawn(0) % 10_000 < int(share * 10_000), drawn(1) % 10
+        other = (drawn(2) % max(1, n) + FIRST_WORD).cast("int") if n else F.lit(UNKNOWN)
+        new = F.when(~hidden, x).when(kind < 8, F.lit(mask)).when(kind == 8, other).otherwise(x)
+        return F.struct(new.alias("id"), F.when(hidden, x).otherwise(F.lit(IGNORED)).alias("label"))
+
+    made = ids(df, words).where(F.size("ids") > 0).select("pos", F.transform("ids", place).alias("s"))
+    return made.select("pos", F.transform("s", lambda x: x["id"]).alias("input_ids"), F.transform("s", lambda x: x["label"]).alias("labels"))
 
 
 def split_in_order(indexed: DataFrame, cuts: list[tuple[str, float]], last: str, n: int, idx: str = "idx") -> DataFrame:
@@ -82,20 +146,21 @@ def split_in_order(indexed: DataFrame, cuts: list[tuple[str, float]], last: str,
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Adds ``idx``: the row's place in an order by hash of key and seed, the same on every run."""
-    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
-    # Buckets are stretches of hashes in order: the sign bit and the next eleven.
-    from tapeloom.plans.prefix import running_sum
-
-    rows = rows.withColumn("_b", F.shiftright("_h", 52)).withColumn("_one", F.lit(1).cast("long"))
+    """Adds ``idx``: the row's place in an order by the MD5 digest of seed and key, the same on every run and in every engine."""
+    rows = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))))
+    # Buckets are stretches of digests in order: their first three digits.
+    rows = rows.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")).withColumn("_one", F.lit(1).cast("long"))
     summed = running_sum(rows, "_b", [F.asc("_h"), F.asc(key)], "_one", "_n")
     return summed.withColumn("idx", F.col("_n") - 1).drop("_h", "_b", "_one", "_n")
 
 
 def training_set(df: DataFrame, most_tokens: int = LENGTH, share: float = 0.8) -> DataFrame:
-    """(pos, line_no, n_tokens, split): non-empty lines, the first of each kept, under the token limit, split in order."""
-    rows = scan.lines(df).where("line <> ''")
-    kept = dedup.first_of_each(rows, "line", ["pos", "line_no"])
-    kept = kept.select("pos", "line_no", X.n_tokens("line").alias("n_tokens")).where(F.col("n_tokens") < most_tokens)
+    """(pos, line_no, n_tokens, split): non-empty lines, the first of each kept, under the token limit, split in order.
+
+    Lines are grouped by digest and length, so that no line is a key of a shuffle; what is kept is written once, as it is counted and then numbered.
+    """
+    rows = scan.lines(df).where("line <> ''").select(F.md5("line").alias("d"), F.length("line").alias("n"), "pos", "line_no", X.n_tokens("line").alias("n_tokens"))
+    first = rows.groupBy("d", "n").agg(F.min(F.struct("pos", "line_no", "n_tokens")).alias("k"))
+    kept = staged(first.select("k.*").where(F.col("n_tokens") < most_tokens), "kept")
     indexed = numbered(kept, "pos", ["pos", "line_no"])
     return split_in_order(indexed, [("train", share)], "validation", kept.count()).drop("idx")

@@ -39,7 +39,7 @@ _S = _L.replace("AS l FROM t)", "AS l FROM t), ls AS (SELECT pos, string_split(a
 _B = _S + ", b AS (SELECT *, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY pos ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS cum FROM lines WHERE line_no >= 1)"
 _U = (
     _D + ", " + _K.replace("regexp_extract_all(text,", "regexp_extract_all(lower(text),") + ", v AS (SELECT w, row_number() OVER (ORDER BY w) + 1 AS id FROM d), "
-    "f AS (SELECT pos, unnest(w) AS w, generate_subscripts(w, 1) AS place FROM k), e AS (SELECT f.pos, f.place, coalesce(v.id, 1) AS id FROM f LEFT JOIN v ON f.w = v.w WHERE f.place <= 768)"
+    "f AS (SELECT pos, unnest(w) AS w, generate_subscripts(w, 1) AS place FROM k), a AS (SELECT f.pos, f.place, coalesce(v.id, 1) AS id FROM f LEFT JOIN v ON f.w = v.w), e AS (SELECT * FROM a WHERE place <= 768)"
 )
 
 
@@ -87,8 +87,8 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("pos", X.tokens("text").alias("w")).withColumn("n", F.size("w").cast("long"))
 
 
-def _words(spark: SparkSession, d: str) -> list[str]:
-    return quality.dictionary_words(table(spark, d, "dictionary"))
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return quality.dictionary(table(spark, d, "dictionary"))
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -290,10 +290,19 @@ def label_mask(spark, d):
     return made.select("pos", F.size(F.filter("labels", lambda x: x == training.IGNORED)).cast("long").alias("n_ignored"))
 
 
-@_query(f"WITH {_U} SELECT t.pos, coalesce(c.text, '') AS text FROM t LEFT JOIN (SELECT e.pos, string_agg(v.w, ' ' ORDER BY e.place) AS text FROM e JOIN v ON e.id = v.id GROUP BY e.pos) c USING (pos)")
+@_query(f"WITH {_U} SELECT t.pos, CAST(coalesce(c.s, 0) AS BIGINT) AS label_sum, CAST(768 - coalesce(c.n, 0) AS BIGINT) AS n_padding FROM t LEFT JOIN (SELECT pos, sum(id) AS s, count(*) AS n FROM e GROUP BY pos) c USING (pos)")
+def padded_labels(spark, d):
+    """Labels that are the ids as they are: padding counts."""
+    labels = training.encoded(_texts(spark, d), _words(spark, d)).select("pos", "padded_labels")
+    add = F.aggregate("padded_labels", F.lit(0).cast("long"), lambda a, x: a + x)
+    return labels.select("pos", add.alias("label_sum"), F.size(F.filter("padded_labels", lambda x: x == training.PAD)).cast("long").alias("n_padding"))
+
+
+@_query(f"WITH {_U} SELECT t.pos, coalesce(c.text, '') AS text FROM t LEFT JOIN (SELECT a.pos, string_agg(v.w, ' ' ORDER BY a.place) AS text FROM a JOIN v ON a.id = v.id GROUP BY a.pos) c USING (pos)")
 def decode_ids(spark, d):
+    """The words of whole texts back from their ids."""
     words = _words(spark, d)
-    return training.decoded(training.encoded(_texts(spark, d), words), words)
+    return training.decoded(training.ids(_texts(spark, d), words), words, "ids")
 
 
 @_query()
@@ -303,9 +312,20 @@ def encode_gpt2(spark, d):
     return made.select("pos", "n_ids", F.size("input_ids").alias("length"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"))
 
 
-@_query()
+_DRAWN = "CAST('0x' || substr(md5('42|' || pos || '|' || (place - 1)), {}, 8) AS BIGINT)"
+
+
+@_query(
+    f"WITH {_U}, c AS (SELECT count(*) AS k FROM d), h AS (SELECT pos, place, id, k, {_DRAWN.format(1)} % 10000 < 1500 AS hidden, {_DRAWN.format(9)} % 10 AS kind, {_DRAWN.format(17)} % k + 2 AS other FROM a, c), "
+    "g AS (SELECT pos, place, CASE WHEN NOT hidden THEN id WHEN kind < 8 THEN k + 2 WHEN kind = 8 THEN other ELSE id END AS id, CASE WHEN hidden THEN id ELSE -100 END AS label, hidden FROM h) "
+    "SELECT pos, count(*) AS n, count(*) FILTER (WHERE hidden) AS n_masked, CAST(sum(id * place) AS BIGINT) AS id_sum, CAST(sum(label * place) AS BIGINT) AS label_sum FROM g GROUP BY pos"
+)
 def mlm_mask(spark, d):
-    return training.masked(_texts(spark, d))
+    """Samples for masked training: how many ids, how many hidden, and sums of the ids and labels by place."""
+    made = training.masked(_texts(spark, d), _words(spark, d))
+    placed = lambda c: F.aggregate(F.transform(c, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    hidden = F.size(F.filter("labels", lambda x: x != training.IGNORED)).cast("long")
+    return made.select("pos", F.size("input_ids").cast("long").alias("n"), hidden.alias("n_masked"), placed("input_ids").alias("id_sum"), placed("labels").alias("label_sum"))
 
 
 @_query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS class_id FROM embeddings")
@@ -326,6 +346,30 @@ def number_format(spark, d):
     return table(spark, d, "documents").where("n_chars IS NOT NULL").select("doc_id", X.grouped_number("n_chars").alias("said"))
 
 
+@_query("SELECT l_orderkey, l_linenumber, format('{:.2f}', l_extendedprice) AS two, format('{:.5f}', l_discount) AS five FROM lineitem")
+def decimal_format(spark, d):
+    """Numbers with two and with five decimals."""
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.decimals("l_extendedprice", 2).alias("two"), X.decimals("l_discount", 5).alias("five"))
+
+
+@_query("SELECT vec_id, CASE list_position(embedding, list_max(embedding)) - 1 WHEN 0 THEN 'greeting' WHEN 1 THEN 'farewell' WHEN 2 THEN 'thanks' ELSE 'unknown' END AS answer FROM embeddings")
+def chat_answer(spark, d):
+    """The answer that belongs to the likeliest class of a vector of logits."""
+    return runs.answers(table(spark, d, "embeddings"), "vec_id", "embedding", _ANSWERS, "unknown")
+
+
+@_query("SELECT doc_id, coalesce(strftime(recorded_at, '%m-%d-%YT%H-%M-%S'), 'undated') AS name FROM documents WHERE doc_id IS NOT NULL")
+def stamped_names(spark, d):
+    """Names by time, as runs are named."""
+    return table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", F.coalesce(X.stamped("recorded_at"), F.lit("undated")).alias("name"))
+
+
+@_query("SELECT doc_id, text, lang, source FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+def drop_missing(spark, d):
+    """Rows without a NULL in any of the columns asked for."""
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source").na.drop()
+
+
 # Joins
 
 
@@ -485,12 +529,12 @@ def vocab_size(spark, d):
 
 @_query(f"WITH {_B} SELECT pos, line_no + 2 AS start_line FROM b WHERE line = '' AND cum % 2 = 0")
 def block_starts(spark, d):
-    return segment.block_starts(scan.lines(_spaced(spark, d)))
+    return segment.block_starts(_spaced(spark, d))
 
 
 @_query(f"WITH {_B} SELECT pos, CAST(cum // 2 AS BIGINT) AS block_no, line_no, line FROM b WHERE line <> '' AND cum >= 2")
 def block_assign(spark, d):
-    return segment.block_assign(scan.lines(_spaced(spark, d)))
+    return segment.block_assign(_spaced(spark, d))
 
 
 @_query(
@@ -500,7 +544,7 @@ def block_assign(spark, d):
     "SELECT pos, CAST(block_no AS BIGINT) AS block_no, count(*) AS n_lines, count(*) FILTER (WHERE line <> '') AS n_text FROM k GROUP BY 1, 2"
 )
 def block_split(spark, d):
-    return segment.block_split(scan.lines(_spaced(spark, d)))
+    return segment.block_split(_spaced(spark, d))
 
 
 @_query(f"WITH {_S}, c AS (SELECT pos, string_split(array_to_string(l, chr(10)), chr(10) || chr(10) || chr(10)) AS a FROM ls), x AS (SELECT pos, unnest(a) AS block, generate_subscripts(a, 1) - 1 AS block_no FROM c) SELECT pos, block_no, block FROM x WHERE block_no >= 1")
@@ -521,12 +565,12 @@ def small_gaps(spark, d):
     "SELECT pos, line_no, CASE WHEN blanks = 1 THEN 'a' ELSE 'b' END AS flag FROM a WHERE line <> '' AND (blanks = 1 OR (blanks = 2 AND line NOT LIKE ' %'))"
 )
 def separator_check(spark, d):
-    return segment.separator_check(scan.lines(_spaced(spark, d)))
+    return segment.separator_check(_spaced(spark, d))
 
 
 @_query(f"WITH {_S}, a AS (SELECT *, coalesce(lag(line) OVER w, '') AS p, lead(line) OVER w AS q FROM lines WINDOW w AS (PARTITION BY pos ORDER BY line_no)) SELECT pos, line_no + 1 AS line_number FROM a WHERE line <> '' AND p = '' AND q = ''")
 def single_line_paras(spark, d):
-    return segment.single_lines(scan.lines(_spaced(spark, d)))
+    return segment.single_lines(_spaced(spark, d))
 
 
 # Order, splits and batches
@@ -580,9 +624,9 @@ def split_70_15_15(spark, d):
     return _split(spark, d, [("train", 1 - 2 * 0.15), ("validation", 1 - 0.15)], "test")
 
 
-@_query()
+@_query(f"WITH {_T}, r AS (SELECT pos, row_number() OVER (ORDER BY md5('42|' || pos), pos) - 1 AS idx, count(*) OVER () AS n FROM t) SELECT pos, CASE WHEN idx < CAST(floor(n * 0.9::DOUBLE) AS BIGINT) THEN 'train' ELSE 'validation' END AS split FROM r")
 def split_random(spark, d):
-    """90 and 10 in a hundred, exactly, drawn by hash."""
+    """90 and 10 in a hundred, exactly, drawn by digest."""
     rows = training.shuffled(_texts(spark, d).select("pos"), "pos")
     return training.split_in_order(rows, [("train", 0.9)], "validation", rows.count()).select("pos", "split")
 
@@ -626,6 +670,12 @@ def early_stopping(spark, d):
     return runs.early_stopping(_log(spark, d))
 
 
+@_query(f"WITH {_R} SELECT run_id, max(epoch) FILTER (WHERE valid_loss IS NOT NULL) AS last_epoch, coalesce(max(epoch) FILTER (WHERE valid_loss IS NOT NULL) + 1, 0) AS next_epoch, min(valid_loss) AS best_loss FROM r GROUP BY run_id")
+def resume_points(spark, d):
+    """Where each run goes on: after its last epoch with a validation loss, from the start if it has none."""
+    return runs.resume_points(_log(spark, d))
+
+
 @_query(
     "WITH f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS logit, generate_subscripts(embedding, 1) - 1 AS token FROM embeddings), "
     "a AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token) AS r FROM f), "

@@ -19,6 +19,19 @@ def lined(spark, *lines):
     return spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "pos long, line_no long, line string")
 
 
+def listed(spark, *words):
+    return quality.dictionary(spark.createDataFrame([(w,) for w in words], "word string"))
+
+
+def test_blocks_of_texts_and_of_lines_are_the_same(spark, rows):
+    draw = random.Random(2)
+    texts = [(i, "\n".join(draw.choice(["", "", "", "a", " b"]) for _ in range(draw.randint(1, 40)))) for i in range(60)] + [(100, ""), (101, "\n\n\n"), (102, "x" * 9000 + "\n" * 9000)]
+    whole = spark.createDataFrame(texts + [(103, None)], "pos long, text string").withColumn("key", F.lit(1)).repartition(5)
+    for operator in (segment.block_starts, segment.block_assign, segment.block_split, segment.separator_check, segment.single_lines):
+        assert rows(operator(whole)) == rows(operator(scan.lines(whole.where("text IS NOT NULL")))), operator
+    assert "Exchange" not in segment.block_split(whole.select("pos", "text"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blank_runs(spark, rows):
     got = rows(segment.block_split(lined(spark, "A", "", "", "B", "", "", "", "C", "", "", "", "", "D")))
     assert [(b, n) for _, b, _, n in got] == [(0, 1), (1, 1), (2, 1), (3, 0), (4, 1)]
@@ -126,11 +139,55 @@ def test_padding(spark):
 
 def test_dictionary(spark, rows):
     table = lined(spark, " Hello, wrld!", " -- hello", "wrld", "")
-    assert rows(quality.unknown_words(table, ["hello"])) == [(0, 1, "wrld"), (0, 2, "")]
-    assert rows(quality.unknown_rows(table, ["hello"])) == [(0, 0, 1), (0, 2, 1)]
+    hello, none = listed(spark, "Hello", "hello", None), listed(spark)
+    assert rows(quality.unknown_words(table, hello)) == [(0, 1, "wrld"), (0, 2, "")]
+    assert rows(quality.unknown_rows(table, hello)) == [(0, 0, 1), (0, 2, 1)]
     texts = spark.createDataFrame([(1, ""), (2, "Hello hello"), (3, "wrld")], "pos long, text string")
-    assert rows(quality.all_words_known(texts, ["hello"])) == [(1, True), (2, True), (3, False)]
-    assert rows(quality.all_words_known(texts, [])) == [(1, True), (2, False), (3, False)]
+    assert rows(quality.all_words_known(texts, hello)) == [(1, True), (2, True), (3, False)]
+    assert rows(quality.all_words_known(texts, none)) == [(1, True), (2, False), (3, False)]
+
+
+def test_dictionaries_of_any_size(spark, rows):
+    """300,000 words: more than are sent to every task, so words are joined; the same results as with the list sent."""
+    large = quality.dictionary(spark.range(300_000).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("word")))
+    texts = spark.createDataFrame([(1, ""), (2, "Word7 and word299999 word7"), (3, "word5"), (3, "word6 x"), (4, None)], "pos long, text string")
+    assert rows(quality.all_words_known(texts.where("text IS NOT NULL"), large)) == [(1, True), (2, False), (3, False), (3, False)]
+    numbers = {r.w: r.id for r in training.numbered_words(large).where("w IN ('word0', 'word1', 'word7', 'word299999')").collect()}
+    names = sorted(f"word{i}" for i in range(300_000))
+    assert numbers == {w: names.index(w) + 2 for w in numbers}
+    got = {(r.pos, tuple(r.ids)) for r in training.ids(texts, large).collect()}
+    at = lambda w: names.index(w) + 2
+    assert got == {(1, ()), (2, (at("word7"), 1, at("word299999"), at("word7"))), (3, (at("word5"),)), (3, (at("word6"), 1))}
+    assert rows(training.decoded(training.ids(texts, large), large, "ids")) == [(1, ""), (2, "word7 word299999 word7"), (3, "word5"), (3, "word6")]
+
+
+def test_ids_both_ways(spark, rows, monkeypatch):
+    words, texts = listed(spark, "b", "a", "c"), spark.createDataFrame([(1, "A b x c"), (2, ""), (3, "z z"), (5, None)], "pos long, text string")
+    said = rows(training.ids(texts, words)), rows(training.ids(texts, words, 2)), rows(training.decoded(training.ids(texts, words), words, "ids"))
+    assert said == ([(1, [2, 3, 1, 4]), (2, []), (3, [1, 1])], [(1, [2, 3]), (2, []), (3, [1, 1])], [(1, "a b c"), (2, ""), (3, "")])
+    monkeypatch.setattr("tapeloom.plans.filtering.MOST_SENT", 1)
+    assert said == (rows(training.ids(texts, words)), rows(training.ids(texts, words, 2)), rows(training.decoded(training.ids(texts, words), words, "ids")))
+
+
+def test_masking(spark):
+    words, texts = listed(spark, *"abcdefghij"), spark.createDataFrame([(i, "a b c d e f g h i j " * 20) for i in range(20)] + [(99, "")], "pos long, text string")
+    got = training.masked(texts, words).collect()
+    whole = [x for r in got for x in zip(r.input_ids, r.labels, [2, 3, 4, 5, 6, 7, 8, 9, 10, 11] * 20)]
+    hidden = [x for x in whole if x[1] != training.IGNORED]
+    assert len(got) == 20 and 0.12 < len(hidden) / len(whole) < 0.18 and all(label == was for _, label, was in hidden)
+    assert all(i == was for i, label, was in whole if label == training.IGNORED) and 0.7 < sum(i == 12 for i, _, _ in hidden) / len(hidden) < 0.9
+
+
+def test_decoding_cut(spark):
+    df = spark.createDataFrame([(1, [0.0, 2.0, 1.0, 2.0]), (2, []), (3, None)], "id long, v array<double>")
+    got = [tuple(r) for r in runs.decoding_cut(df, "id", "v", k=3, p=0.5).orderBy("token").collect()]
+    assert [r[:2] for r in got] == [(1, 1), (1, 3)] and got[0][2] == got[1][2] == pytest.approx(0.4223, abs=1e-4)
+    assert [tuple(r) for r in runs.answers(df, "id", "v", {1: "one"}, "?").orderBy("id").collect()] == [(1, "one"), (2, "?"), (3, "?")]
+
+
+def test_resume_points(spark):
+    log = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (1, 3, None), (2, 1, None)], "run_id long, epoch int, valid_loss double")
+    assert [tuple(r) for r in runs.resume_points(log).orderBy("run_id").collect()] == [(1, 2, 3, 1.0), (2, None, 0, None)]
 
 
 def test_first_words(spark):
@@ -184,7 +241,7 @@ def test_only_keys_both_ways(spark, monkeypatch):
 def test_empty_tables(spark):
     texts = spark.createDataFrame([], "pos long, text string")
     table = scan.lines(texts)
-    for df in (training.training_set(texts), scan.corpus_starts(texts), segment.block_split(table), dedup.near_copies(texts, "pos"), dedup.short_links(texts, "pos"), training.encoded(texts, ["a"])):
+    for df in (training.training_set(texts), scan.corpus_starts(texts), segment.block_split(table), dedup.near_copies(texts, "pos"), dedup.short_links(texts, "pos"), training.encoded(texts, listed(spark, "a")), training.masked(texts, listed(spark)), segment.single_lines(table), segment.block_assign(texts)):
         assert df.count() == 0
 
 
