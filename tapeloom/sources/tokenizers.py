@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import base64
+import os
 
-#: Where the vocabulary files lie unless the caller says otherwise.
-FOLDER = "/opt/tokenizers"
+#: Where the vocabulary files lie unless the caller says otherwise: the folder that the environment names, else the usual one.
+FOLDER = os.environ.get("TAPELOOM_TOKENIZERS", "/opt/tokenizers")
 #: The pattern GPT-2 splits text by before byte pairs are merged. Fixed value, published with that tokenizer.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -11,7 +11,7 @@ from tapeloom.functions import vectors as V
 from tapeloom.operators import dedup, profile, quality, runs, scan, segment, training
 from tapeloom.plans.filtering import only_keys
 from tapeloom.plans.prefix import numbered
-from tapeloom.sources import files, settings
+from tapeloom.sources import files, logs, settings
 from tapeloom.streaming import lines as streams
 
 
@@ -29,7 +29,7 @@ def test_blocks_of_texts_and_of_lines_are_the_same(spark, rows):
     whole = spark.createDataFrame(texts + [(103, None)], "pos long, text string").withColumn("key", F.lit(1)).repartition(5)
     for operator in (segment.block_starts, segment.block_assign, segment.block_split, segment.separator_check, segment.single_lines):
         assert rows(operator(whole)) == rows(operator(scan.lines(whole.where("text IS NOT NULL")))), operator
-    assert "Exchange" not in segment.block_split(whole.select("pos", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in segment.block_split(spark.createDataFrame(texts, "pos long, text string"))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_blank_runs(spark, rows):
@@ -262,6 +262,38 @@ def test_files(spark, tmp_path):
     assert files.without(blocks, blocks.where("pos = 1"), "pos").count() == 2
 
 
+def test_named_files(spark, tmp_path):
+    rows = [(1, "a/n", "old"), (2, "a/n", "new\r\n\r\nline"), (3, "m", "x"), (4, None, "y"), (5, "z", None)]
+    blocks = spark.createDataFrame(rows, "pos long, name string, text string")
+    for _ in range(2):  # a file is replaced
+        files.write_named(blocks, str(tmp_path / "last"))
+    assert {str(p.relative_to(tmp_path / "last")): p.read_text() for p in (tmp_path / "last").rglob("*") if p.is_file()} == {"a/n.txt": "new\nline\n", "m.txt": "x\n"}
+    files.write_named(blocks, f"file://{tmp_path}/all", keep="all")
+    assert (tmp_path / "all" / "a" / "n.txt").read_text() == "old\nnew\n\nline\n"
+    with pytest.raises(Exception, match="leads out"):
+        files.write_named(blocks.withColumn("name", F.lit("../x")), str(tmp_path / "last"))
+    files.write_named(blocks.limit(0), str(tmp_path / "none"))
+    seen = files.existing(spark.createDataFrame([("a/n.txt",), ("q",), (None,)], "path string"), "path", str(tmp_path / "last"))
+    assert [tuple(r) for r in seen.collect()] == [("a/n.txt", True), ("q", False), (None, False)]
+
+
+def test_index_manifest_and_csv(spark, tmp_path):
+    files.write_index(spark.createDataFrame([(2, 9, "b"), (1, 4, "a"), (3, None, "c")], "n long, start_line long, path string"), str(tmp_path / "index"))
+    files.write_manifest(spark.createDataFrame([("b",), ("a",), ("a",), (None,)], "path string"), str(tmp_path / "manifest"))
+    said = lambda d: "".join(p.read_text() for p in sorted((tmp_path / d).glob("part-*")))
+    assert said("index") == "1) 4 - a\n2) 9 - b\n" and said("manifest") == "a\nb\n"
+    (tmp_path / "t.csv").write_text('name,text\nx,"one\ntwo"\ny,\n')
+    assert [tuple(r) for r in files.table_of_text(spark, str(tmp_path / "t.csv"), "name string, text string").collect()] == [("x", "one\ntwo"), ("y", None)]
+
+
+def test_logs(spark, tmp_path):
+    made = logs.logger("a run", str(tmp_path / "deep" / "run.log"), console=50)
+    made.info("begun")
+    log = spark.createDataFrame([(1, 2, 0.5, None), (1, 1, 1.0, 2.0), (2, 1, 3.0, 3.0)], "run_id long, epoch int, train_loss double, valid_loss double")
+    assert logs.report(log, 1) == ["epoch 1: average training loss 1.00, validation loss 2.00000", "epoch 2: average training loss 0.50, validation loss none"]
+    assert (tmp_path / "deep" / "run.log").read_text().endswith("INFO begun\n")
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.yaml").write_text("a:\n  lr: 1e-5\n  n: 3\n  s: text\n")
     assert settings.load(str(tmp_path / "c.yaml")) == {"a": {"lr": 1e-5, "n": 3, "s": "text"}}
