@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tapeloom.functions import text as X
 
@@ -101,7 +102,7 @@ def existing(df: DataFrame, path: str, folder: str = "") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], names=[*b.schema.names, "exists"])
 
     kept = df.drop("exists")
-    return kept.mapInArrow(run, kept.schema.add("exists", "boolean"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("exists", BooleanType())]))
 
 
 def write_index(blocks: DataFrame, path: str, mode: str = "errorifexists") -> None:
