@@ -151,14 +151,8 @@ def _parts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (runs, *chunks(tokens))
 
 
-def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str = "text", split: str = "split") -> DataFrame:
-    """(eval_pos, train_pos, runs_shared, chunks_shared): pairs of which at least ``share`` of the evaluation text's runs stand in the training text.
-
-    ``runs_shared`` and ``chunks_shared`` are the shares of the evaluation text's distinct runs, and of the words of its distinct chunks, that stand
-    in the training text. Rows with a NULL key or text, under 20 words, or in no known split take no part. Repeated rows
-    count once; a key that comes with several texts or splits counts with each, never against itself, and what is found for
-    one of its texts counts for it and for all records with a copy of any of them.
-    """
+def _linked(df: DataFrame, share: float, key: str, text: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """members (id, eval, rep): every record with the least key that has the same words on its side; links (a, b, runs_shared, chunks_shared) of these."""
     rows = df.select(F.col(key).cast("long").alias("id"), split_name(split).alias("split"), F.col(text).alias("text"))
     rows = rows.where("id IS NOT NULL AND text IS NOT NULL AND split IN ('train', 'validation', 'test')").select("id", (F.col("split") != "train").alias("eval"), "text")
     members = staged(batched(rows, "id long, eval boolean, same long, n_words int", _named), "records")
@@ -195,16 +189,45 @@ def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str =
         if both and both >= share * len(p) - 1e-9:
             yield a, b, both / len(p), float(n[np.isin(c, d)].sum() / max(1, n.sum()))
 
-    links = each(with_b, "a long, b long, runs_shared double, chunks_shared double", measured)
+    return members, each(with_b, "a long, b long, runs_shared double, chunks_shared double", measured)
+
+
+def overlaps(df: DataFrame, share: float = SHARE, key: str = "pos", text: str = "text", split: str = "split") -> DataFrame:
+    """(eval_pos, train_pos, runs_shared, chunks_shared): pairs of which at least ``share`` of the evaluation text's runs stand in the training text.
+
+    ``runs_shared`` and ``chunks_shared`` are the shares of the evaluation text's distinct runs, and of the words of its distinct chunks, that stand
+    in the training text. Rows with a NULL key or text, under 20 words, or in no known split take no part. Repeated rows
+    count once; a key that comes with several texts or splits counts with each, never against itself, and what is found for
+    one of its texts counts for it and for all records with a copy of any of them.
+    """
+    members, links = _linked(df, share, key, text, split)
     left = members.where("eval").select(F.col("rep").alias("a"), F.col("id").alias("eval_pos"))
     right = members.where("NOT eval").select(F.col("rep").alias("b"), F.col("id").alias("train_pos"))
     pairs = links.join(left, "a").join(right, "b").where("eval_pos <> train_pos")
     return pairs.groupBy("eval_pos", "train_pos").agg(F.max("runs_shared").alias("runs_shared"), F.max("chunks_shared").alias("chunks_shared"))
 
 
+def pair_counts(df: DataFrame, share: float = SHARE, key: str = "pos", text: str = "text", split: str = "split") -> DataFrame:
+    """(eval_pos, pairs): how many pairs of ``overlaps`` each evaluation record with any is in. Copies of a training record are counted, never listed."""
+    members, links = _linked(df, share, key, text, split)
+    train = members.where("NOT eval").select("id", F.col("rep").alias("b"))
+    several = train.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1")
+    # A key with one training text is in one class; only those with several can be met twice by a record, so they alone are listed.
+    single = train.join(several, "id", "left_anti")
+    own = members.where("eval").select(F.col("rep").alias("a"), F.col("id").alias("eval_pos"))
+    met = staged(links.select("a", "b").join(own, "a").select("eval_pos", "b").distinct(), "met_classes")
+    counted = met.join(single.groupBy("b").agg(F.count("*").alias("n")), "b").select("eval_pos", "n")
+    itself = met.join(single.withColumnRenamed("id", "eval_pos"), ["eval_pos", "b"]).select("eval_pos", F.lit(-1).cast("long").alias("n"))
+    listed = met.join(train.join(several, "id").select("id", "b"), "b").where("id <> eval_pos").select("eval_pos", "id").distinct().select("eval_pos", F.lit(1).cast("long").alias("n"))
+    return counted.unionByName(itself).unionByName(listed).groupBy("eval_pos").agg(F.sum("n").alias("pairs")).where("pairs > 0")
+
+
 def per_split_and_source(df: DataFrame, found: DataFrame, key: str = "pos", split: str = "split", source: str = "source") -> DataFrame:
-    """(split, source, records, overlapping, pairs): of every evaluation split and source, the records, those found in training, and the pairs."""
+    """(split, source, records, overlapping, pairs): of every evaluation split and source, the records, those found in training, and the pairs.
+
+    ``found`` are the rows of ``overlaps`` or of ``pair_counts``.
+    """
     rows = df.select(F.col(key).cast("long").alias("eval_pos"), split_name(split).alias("split"), F.col(source).alias("source")).where("split IN ('validation', 'test')").distinct()
-    per = found.groupBy("eval_pos").agg(F.count("*").alias("pairs"))
+    per = found if "pairs" in found.columns else found.groupBy("eval_pos").agg(F.count("*").alias("pairs"))
     joined = rows.join(per, "eval_pos", "left")
     return joined.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))

@@ -96,7 +96,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlaps of every evaluation split and source."""
     rows = _wide(spark, sf_dir, "output_final")
-    return overlap.per_split_and_source(rows, overlap.overlaps(rows))
+    return overlap.per_split_and_source(rows, overlap.pair_counts(rows))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

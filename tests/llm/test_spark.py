@@ -141,6 +141,13 @@ def test_common_runs_have_all_holders(spark, monkeypatch):
     assert {(r.eval_pos, r.train_pos) for r in overlap.overlaps(table).collect()} == {(0, i) for i in range(1, 8)}
 
 
+def test_pairs_are_counted_without_being_listed(spark):
+    said = [(i, talk(i % 5, 40), "test" if i % 3 == 0 else "train") for i in range(40)] + [(i, talk(i % 5, 40) + " and more", "train") for i in range(10)] + [(50, talk(1, 40), "test"), (50, talk(1, 40), "train")]
+    table = spark.createDataFrame(said, "pos long, text string, split string")
+    wanted = {r.eval_pos: r["count"] for r in overlap.overlaps(table).groupBy("eval_pos").count().collect()}
+    assert {r.eval_pos: r.pairs for r in overlap.pair_counts(table).collect()} == wanted and max(wanted.values()) > 5
+
+
 def test_packing(texts, monkeypatch):
     monkeypatch.setattr(packing, "PART_ITEMS", 4)
     got = packing.samples(texts).toPandas()
