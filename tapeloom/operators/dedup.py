@@ -19,6 +19,8 @@ from tapeloom.plans.stage import staged
 DIFF_LINES = 10
 #: A difference under DIFF_LINES changes at most so many lines.
 CHANGED = 6
+#: Texts of over 7 lines with a line that more than this many texts have among their rarest meet by two lines together instead of by the one.
+HOT_MARK = 200
 #: What a repetition of a line adds to its hash.
 _REPEATED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,20 +85,39 @@ def _marked(texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, marks array<long>")
 
 
+def _meeting(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(a, b, na, nb), a < b: of two tables (id, n, mark) the texts with a mark in common whose lengths allow for a difference of 6 lines."""
+    a, b = one.alias("a"), other.alias("b")
+    met = a.join(b, (F.col("a.mark") == F.col("b.mark")) & (F.col("a.id") != F.col("b.id")) & (F.abs(F.col("a.n") - F.col("b.n")) <= CHANGED) & (F.col("a.n") + F.col("b.n") > CHANGED))
+    first = F.col("a.id") < F.col("b.id")
+    ends = [F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(n) for x, y, c, n in (("a", "b", "id", "a"), ("b", "a", "id", "b"), ("a", "b", "n", "na"), ("b", "a", "n", "nb"))]
+    return met.select(*ends).distinct()
+
+
 def _candidates(texts: DataFrame) -> DataFrame:
     """(a, b), a < b: distinct texts of over 6 lines together that may differ in at most 6 lines.
 
     Each text misses at most 6 of the other's lines, so of its 7 rarest lines (each repetition a line of its own) the other has
-    one; both have it among their own 7 rarest. No other lines are joined on.
+    one; both have it among their own 7 rarest. No other lines are joined on, and of lines that many texts have two together.
     """
     marked = _marked(texts).select("id", "n", F.explode("marks").alias("mark"))
     often = marked.groupBy("mark").agg(F.count("*").alias("f")).where("f > 1")
     shared = staged(marked.join(often, "mark", "left").withColumn("f", F.coalesce("f", F.lit(1))), "marks")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "mark"))
-    prefix = shared.withColumn("r", rank).where((F.col("r") <= CHANGED + 1) & (F.col("f") > 1)).select("id", "n", "mark")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    met = a.join(b, (F.col("a.mark") == F.col("b.mark")) & (F.col("a.id") < F.col("b.id")) & (F.abs(F.col("a.n") - F.col("b.n")) <= CHANGED) & (F.col("a.n") + F.col("b.n") > CHANGED))
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
+    rare = staged(shared.withColumn("r", rank).where((F.col("r") <= CHANGED + 2) & (F.col("f") > 1)).select("id", "n", "mark", "r"), "rare")
+    prefix = rare.where(F.col("r") <= CHANGED + 1)
+    held = prefix.groupBy("mark").agg(F.count("*").alias("held"))
+    cold = prefix.join(held.where((F.col("held") > 1) & (F.col("held") <= HOT_MARK)), "mark").select("id", "n", "mark")
+    pairs = _meeting(cold, cold)
+    hot = prefix.join(held.where(F.col("held") > HOT_MARK), "mark").select("id", "n", "mark")
+    if not hot.isEmpty():
+        # Of two texts of over 7 lines each the two rarest common lines are among both's 8 rarest: they meet by these two.
+        long = rare.where(F.col("n") > CHANGED + 1).join(hot.select("id").distinct(), "id").groupBy("id", "n").agg(F.array_sort(F.collect_list("mark")).alias("m"))
+        two = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, CHANGED + 2), lambda y: F.xxhash64(x, y))))
+        by_two = long.select("id", "n", F.explode(two).alias("mark"))
+        short = hot.where(F.col("n") <= CHANGED + 1)
+        either = _meeting(short, hot)
+        pairs = pairs.unionByName(_meeting(by_two, by_two)).unionByName(either).distinct()
     left, right = shared.select(F.col("id").alias("a"), "mark"), shared.select(F.col("id").alias("b"), F.col("mark").alias("mark"))
     both = pairs.join(left, "a").join(right, ["b", "mark"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
     return both.where(F.col("na") + F.col("nb") - 2 * F.col("common") <= CHANGED).select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("apart"))
