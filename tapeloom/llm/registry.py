@@ -198,6 +198,15 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"WITH {_RUNS} SELECT pos FROM every WHERE n_words >= 30 GROUP BY pos HAVING count(*) - count(DISTINCT run) >= 0.25 * count(*)",
         "p5_found": f"WITH {_RUNS}, {_SPLITS} SELECT DISTINCT least(a.pos, b.pos) AS pos_a, greatest(a.pos, b.pos) AS pos_b FROM (SELECT a.pos, b.pos AS other, count(*) AS k FROM c a JOIN c b ON a.run = b.run "
         "AND a.part = 'eval' AND b.part = 'train' GROUP BY 1, 2) p JOIN n ON n.pos = p.pos JOIN (SELECT pos FROM n) a ON a.pos = p.pos JOIN (SELECT pos FROM n) b ON b.pos = p.other WHERE k >= 0.6 * n.n",
+        "p3_classes": f"WITH RECURSIVE {_RUNS}, h AS (SELECT pos, md5(string_agg(run, '|' ORDER BY run)) AS h FROM r GROUP BY pos), m AS (SELECT pos, min(pos) OVER (PARTITION BY h) AS rep FROM h), "
+        "q AS (SELECT r.pos, r.run FROM r JOIN m ON m.pos = r.pos AND m.rep = r.pos), l AS (SELECT a.pos AS a, b.pos AS b FROM q a JOIN q b ON a.run = b.run AND a.pos < b.pos JOIN n x ON x.pos = a.pos JOIN n y ON y.pos = b.pos "
+        "GROUP BY a.pos, b.pos, x.n, y.n HAVING count(*) >= 0.5 * (x.n + y.n - count(*))), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), "
+        "c AS (SELECT DISTINCT rep AS v, rep AS label FROM m UNION SELECT e.b, c.label FROM c JOIN e ON e.a = c.v WHERE c.label < e.b), k AS (SELECT v, min(label) AS label FROM c GROUP BY v), d AS (SELECT a, count(*) AS n FROM e GROUP BY a) "
+        "SELECT m.pos, k.label AS class_id, coalesce(d.n, 0) AS links FROM m JOIN k ON k.v = m.rep LEFT JOIN d ON d.a = m.rep",
+        "p5_counts": f"WITH {_RUNS}, {_SPLITS}, p AS (SELECT p.pos AS eval_pos, count(DISTINCT other) AS pairs FROM (SELECT a.pos, b.pos AS other, count(*) AS k FROM c a JOIN c b ON a.run = b.run "
+        "AND a.part = 'eval' AND b.part = 'train' GROUP BY 1, 2) p JOIN n ON n.pos = p.pos WHERE k >= 0.6 * n.n AND p.pos <> other GROUP BY 1), "
+        "s AS (SELECT DISTINCT pos AS eval_pos, CASE lower(trim(split)) WHEN 'val' THEN 'validation' ELSE lower(trim(split)) END AS split, source FROM output_final) "
+        "SELECT s.split, s.source, count(*) AS records, count(p.pairs) AS overlapping, CAST(coalesce(sum(p.pairs), 0) AS BIGINT) AS pairs FROM s LEFT JOIN p USING (eval_pos) WHERE s.split IN ('validation', 'test') GROUP BY 1, 2",
         "p8_found": f"WITH dw AS (SELECT DISTINCT doc_id AS id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), "
         f"iw AS (SELECT DISTINCT item_id AS id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL), "
         "dr AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM dw), "
