@@ -33,9 +33,9 @@ def copies(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def first_of_each(df: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """The first row, by ``order``, of every value of ``by``; the columns are these and ``by``."""
-    kept = df.groupBy(by).agg(F.min(F.struct(*order)).alias("_k"))
-    return kept.select(by, *(f"_k.{c}" for c in order))
+    """The first row, by ``order``, of every value of the string ``by``; the columns are these and ``by``. Values are grouped by digest and length."""
+    kept = df.groupBy(F.md5(by).alias("_d"), F.length(by).alias("_n")).agg(F.min(F.struct(*order, by)).alias("_k"))
+    return kept.select(*(f"_k.{c}" for c in (by, *order)))
 
 
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
