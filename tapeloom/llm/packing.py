@@ -8,8 +8,6 @@ taken where it needs fewer bins. Only sizes travel, never texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
