@@ -75,6 +75,25 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch):
     assert {tuple(r) for r in near.pairs_of(members, links).collect()} == wanted and wanted
 
 
+def test_unlike_names_with_a_common_key_are_not_paired(spark, monkeypatch):
+    """Names of one number and pattern share keys by chance; sketches part them, by keys and by rarest features, and lose no pair."""
+    draw = random.Random(5)
+    names = [(i, f"a/07 - On {' And '.join(draw.choice(WORDS) for _ in range(3))} In {draw.choice(WORDS)}.mp3") for i in range(600)]
+    names += [(1000 + i, p.replace(" On ", " Off ")) for i, p in names[:20]]
+    df, wanted = spark.createDataFrame(names, "pos long, path string"), brute_force_pairs(names, near.name_features, 0.7)
+    rows = df.withColumnsRenamed({"pos": "id", "path": "text"})
+    with_sketches, without = (near._by_rare(rows, near.name_features, 0.7, sketch).count() for sketch in (4, 0))
+    assert len(wanted) <= with_sketches < without / 2
+    kept = {}
+    monkeypatch.setattr(near, "staged", lambda d, name, staged=near.staged: kept.setdefault(name, staged(d, name)))
+    members, links = near.similar(df, "pos", "path", near.name_features, 0.7, 4, 4)
+    assert {tuple(r) for r in near.pairs_of(members, links).collect()} == wanted and wanted
+    few = kept.pop("pairs").count()
+    kept.clear()
+    near.similar(df, "pos", "path", near.name_features, 0.7, 4)
+    assert few < kept["pairs"].count() / 2
+
+
 def test_rarest_features_miss_no_pair(spark):
     draw = random.Random(8)
     said = [(i, edited(talk(i % 25, 40 + i % 25), i, draw.randrange(8)) + (" " + talk(700, 30) if i % 3 else "")) for i in range(140)]

@@ -53,6 +53,16 @@ def test_keys_find_half_alike_sets():
     assert missed <= 2
 
 
+def test_sketches_differ_by_no_more_than_sets():
+    draw = np.random.default_rng(4)
+    for n in (1, 5, 40, 400):
+        for kept in (0, n // 2, n):
+            a, b = (np.unique(np.concatenate([common, draw.integers(0, 1 << 63, n - kept).astype(np.uint64)])) for common in [draw.integers(0, 1 << 63, kept).astype(np.uint64)] for _ in range(2))
+            x, y = (np.frombuffer(near.sketch_of(f, 2), dtype=np.uint64) for f in (a, b))
+            assert len(x) == 2 and np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    assert near.sketch_of(a, 0) == b""
+
+
 def test_name_features():
     f = lambda p: set(near.name_features(p).tolist())
     assert f("a/07 - The Bell.mp3") == f("b/07_the_bell.MP3") == f("c/007 - THE BELL.x") or f("a/07 - The Bell.mp3") == f("b/07_the_bell.MP3")
