@@ -250,6 +250,48 @@ def test_subjects(spark):
     assert {(r.doc_id, r.subject) for r in found.collect()} == {(i, "law" if i % 2 else "music") for i in range(40)}
 
 
+def subjects_found(spark, docs, labels):
+    about = spark.createDataFrame([("law",), ("music",)], "subject string")
+    return {(r.doc_id, r.subject) for r in subjects.subjects_of(spark.createDataFrame(docs, "doc_id long, text string"), about, labels).collect()}
+
+
+def test_subjects_learn_from_all_labels(spark):
+    """24,000 labels: those that come last by hash count like the others."""
+    labels = spark.range(24_000).select(F.col("id").alias("doc_id"), F.lit("law").alias("subject"))
+    last = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id").desc()).limit(10).collect()]
+    docs = [(i, "The zamkor rose. The zamkor fell. ") for i in [*last, 50_000]] + [(30_000 + i, "A sonata ends. A cello rests. ") for i in range(10)]
+    assert subjects_found(spark, docs, labels) == {(i, "law") for i in [*last, 50_000]} | {(30_000 + i, "music") for i in range(10)}
+
+
+def test_subjects_keep_all_terms(spark):
+    """700 words that tell a subject, all as surely: the last by name count like the others."""
+    told = [f"zam{i:03d}" for i in range(700)]
+    docs = [(i, "The jury met. The verdict was read. The plaintiff left. " + " ".join(told[j % 700] for j in range(35 * i, 35 * i + 35)) + ".") for i in range(100)]
+    docs += [(500, "A zam698 rose. A zam699 fell. " * 3), (501, "The sonata ends. The cello rests. " * 3)]
+    assert {(500, "law"), (501, "music")} <= subjects_found(spark, docs, spark.createDataFrame([], "doc_id long, subject string"))
+
+
+def test_subjects_of_many_labels_and_names(spark, monkeypatch):
+    """Label and subject tables too large to send are joined by key; 10,500 subjects."""
+    said = {"law": "The jury met. The verdict was read. The plaintiff left. ", "music": "The sonata ends. The cello rests. A ballad begins. "}
+    docs = [(i, said["law" if i % 2 else "music"] * (1 + i % 3) + talk(i, 10)) for i in range(40)]
+    labels = spark.createDataFrame([(1, "Law"), (2, "music "), (3, None)], "doc_id long, subject string")
+    about = spark.createDataFrame([("law",), ("music",)] + [(f"zam {i}",) for i in range(10_500)], "subject string")
+    monkeypatch.setattr("tapeloom.plans.filtering.MOST_SENT", 1)
+    found = subjects.subjects_of(spark.createDataFrame(docs, "doc_id long, text string"), about, labels)
+    assert {(r.doc_id, r.subject) for r in found.collect()} == {(i, "law" if i % 2 else "music") for i in range(40)}
+
+
+def test_thresholds_by_running_sums(spark):
+    draw = random.Random(6)
+    rows = [(s, draw.uniform(0.01, 30), draw.random() < share) for s, n, share in (("law", 400, 0.7), ("music", 49, 0.5), ("sport", 50, 0.2)) for _ in range(n)]
+    rows = [(s, x, y or x > 20) for s, x, y in rows]
+    names = ["law", "music", "sport", "none"]
+    got = lambda some: subjects.thresholds_of(spark.createDataFrame(some, "subject string, score double, told boolean"), names)
+    assert got(rows) == subjects.thresholds(rows, names) and got(rows[:49]) == dict.fromkeys(names, 0.0) == got([])
+    assert got([("law", 1.0, i % 2 == 0) for i in range(80)]) == dict.fromkeys(names, 1.0)
+
+
 def test_splits(spark, none):
     records = spark.createDataFrame([(i, [i % 50]) for i in range(1000)] + [(2000, [1, 2]), (2001, [2, 3]), (2002, []), (2003, None), (0, [0]), (None, [5])], "id long, entities array<long>")
     groups = {r.id: r.component for r in splits.grouped(records).collect()}
